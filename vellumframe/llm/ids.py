@@ -10,19 +10,18 @@ import regex
 #: So many units a worker remembers twice over: when the newer half is full, the older half is forgotten.
 UNITS = 200_000
 UNIT_CHARS = 64
-#: Where a text isn't cut into units: a space between white space, or before it and the end. Names of special tokens
-#: hold none of these and no space.
-_RUN = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
+#: A text with white space beside white space, or at its end, isn't cut into units.
+_RUN = regex.compile(r"[\s\x1c-\x1f](?:[\s\x1c-\x1f]|\Z)")
 _WHITE = regex.compile(r"[\s\x1c-\x1f]")
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Byte-level patterns of this family end a match before each space that is followed by a character other than white
-    space, and before each that follows such a character. So a text is cut there and its units, which repeat, are
-    encoded once by the library and remembered. Units that the memory lacks are encoded together, a line feed between
-    them: it is a match of its own, with its own id. Where these rules don't hold, the library gets the whole text.
+    Byte-level patterns of this family end a match before a space, and before and after a line feed, that stands between
+    characters other than white space. So a text is cut there; units, a space or a line feed and what follows it, repeat,
+    and each is encoded once by the library and remembered. Units that the memory lacks are encoded together, a line
+    feed between them, whose id parts them again. Texts with other runs of white space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -34,7 +33,8 @@ class Encoder:
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.feed = self._ids("\n")
-        self.joins = len(self.feed) == 1 and self._ids("a\n b") == [*self._ids("a"), *self.feed, *self._ids(" b")]
+        ids = self._ids
+        self.joins = len(self.feed) == 1 and ids("a\n b\nc d") == [x for t in ("a", "\n", " b", "\n", "c", " d") for x in ids(t)]
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -43,21 +43,27 @@ class Encoder:
         return np.array(self._ids(text), "<u4").tobytes()
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units, each with the space before it."""
-        plain = [u for u in units if self.joins and not _WHITE.search(u) and u]
-        found = {u: self._bytes(" " + u) for u in units.difference(plain)}
+        """The ids of units: of a line feed and a word, or of a word with the space before it."""
+        found, plain, feed = {}, [], np.array(self.feed, "<u4").tobytes()
+        for u in units:
+            word = u[1:] if u[:1] == "\n" else " " + u
+            if _WHITE.search(word, 1) or not u or word[:1] == "\n":
+                found[u] = self._bytes(u if u[:1] == "\n" else word)
+            else:
+                plain.append((u, word, feed if word[0] != " " else b""))
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            ids = np.array(self._ids("\n".join([" " + u for u in part])), "<u4")
+            ids = np.array(self._ids("\n".join([x[1] for x in part])), "<u4")
             ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
-            assert len(ends) == len(part)
-            begin = 0
-            for u, end in zip(part, ends.tolist(), strict=True):
-                found[u] = ids[begin:end].tobytes()
-                begin = end + 1
+            if len(ends) != len(part):
+                raise ValueError("the line feed doesn't part the units of this vocabulary")
+            data, begin = ids.tobytes(), 0
+            for (u, _, before), end in zip(part, (4 * ends).tolist(), strict=True):
+                found[u] = before + data[begin:end]
+                begin = end + 4
         if len(self.newer) + len(found) > UNITS:
             self.older, self.newer = self.newer, {}
-        self.newer |= {u: x for u, x in found.items() if len(u) <= UNIT_CHARS}
+        self.newer.update(found if max(map(len, found)) <= UNIT_CHARS else {u: x for u, x in found.items() if len(u) <= UNIT_CHARS})
         return found
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -67,21 +73,22 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        get, old, done, lack = self.newer.get, self.older.get, [], set()
+        get, done, lack = self.newer.get, [], set()
         for text in texts:
-            if "  " in text or _RUN.search(text):
+            if not self.joins or _RUN.search(text):
                 done.append(self._bytes(text))
                 continue
-            first, *units = text.split(" ")
+            first, *units = text.replace("\n", " \n").split(" ")
             have = list(map(get, units))
             if None in have:
-                for i, x in enumerate(have):
-                    if x is None and (x := old(units[i])) is not None:
-                        self.newer[units[i]] = have[i] = x
-                    elif x is None:
-                        lack.add(units[i])
+                lack.update([u for u, x in zip(units, have, strict=True) if x is None])
             done.append((first, units, have))
-        more = self._learn(lack) if lack else {}
+        more = {}
+        if lack:
+            more = {u: x for u in lack if (x := self.older.get(u)) is not None}
+            self.newer.update(more)
+            if len(more) < len(lack):
+                more |= self._learn(lack.difference(more))
         for i, x in enumerate(done):
             if type(x) is tuple:
                 first, units, have = x

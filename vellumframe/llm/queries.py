@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumframe.llm import bpe, exact_dedup, simhash
+from vellumframe.llm import bpe, exact_dedup, packing, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -34,10 +34,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
+    "op6_packing": op6_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
