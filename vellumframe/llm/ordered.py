@@ -18,21 +18,22 @@ def starts(df: DataFrame, key: str, value: str, shift: int = FIRST) -> DataFrame
     if shift > 64:  # at most 2**6 keys are left
         before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn("start", F.coalesce(F.sum(value).over(before), F.lit(0).cast("long")))
-    rows = df.withColumn("_bucket", bucket(key, FIRST if shift == FIRST else NEXT))
-    sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    above = starts(sums, "_bucket", "_sum", shift + NEXT).select(F.col("_bucket").alias("_of"), F.col("start").alias("_before"))
-    within = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0).cast("long")))
-    return own.join(above, own["_bucket"].eqNullSafe(above["_of"])).withColumn("start", F.col("_own") + F.col("_before")).drop("_bucket", "_of", "_own", "_before")
+    b, total, of, base, own = (f"_{x}{shift}" for x in ("bucket", "sum", "of", "before", "own"))
+    rows = df.withColumn(b, bucket(key, FIRST if shift == FIRST else NEXT))
+    above = starts(rows.groupBy(b).agg(F.sum(value).alias(total)), b, total, shift + NEXT).select(F.col(b).alias(of), F.col("start").alias(base))
+    within = Window.partitionBy(b).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(own, F.coalesce(F.sum(value).over(within), F.lit(0).cast("long")))
+    return placed.join(above, F.col(b).eqNullSafe(F.col(of))).withColumn("start", F.col(own) + F.col(base)).drop(b, of, own, base)
 
 
 def lower_neighbours(keys: DataFrame, key: str, shift: int = FIRST + NEXT) -> DataFrame:
     """For different, non-null keys: key and lower, the next smaller key, null for the smallest."""
     if shift > 64:
         return keys.select(key, F.lag(key).over(Window.orderBy(key)).alias("lower"))
-    rows = keys.withColumn("_bucket", bucket(key, NEXT))
-    most = rows.groupBy("_bucket").agg(F.max(key).alias("_most"))
-    chain = lower_neighbours(most.select("_bucket"), "_bucket", shift + NEXT).withColumnRenamed("_bucket", "_of")
-    below = chain.join(most.select(F.col("_bucket").alias("lower"), "_most"), "lower", "left").select("_of", "_most")
-    own = rows.withColumn("_own", F.lag(key).over(Window.partitionBy("_bucket").orderBy(key)))
-    return own.join(below, F.col("_bucket") == F.col("_of"), "left").select(key, F.coalesce("_own", "_most").alias("lower"))
+    b, most, of, under, own = (f"_{x}{shift}" for x in ("bucket", "most", "of", "under", "own"))
+    rows = keys.select(key, bucket(key, NEXT).alias(b))
+    tops = rows.groupBy(b).agg(F.max(key).alias(most))
+    chain = lower_neighbours(tops.select(b), b, shift + NEXT).select(F.col(b).alias(of), F.col("lower").alias(under))
+    below = chain.join(tops.withColumnRenamed(b, under), under, "left").select(of, most)
+    owned = rows.withColumn(own, F.lag(key).over(Window.partitionBy(b).orderBy(key)))
+    return owned.join(below, F.col(b) == F.col(of), "left").select(key, F.coalesce(own, most).alias("lower"))

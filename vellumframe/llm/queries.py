@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumframe.llm import bpe, exact_dedup, packing, simhash
+from vellumframe.llm import bpe, exact_dedup, idstore, packing, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -38,11 +38,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.stored(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op10_idstore": op10_idstore,
 }
 
 ORACLE_SQL: dict[str, str] = {
