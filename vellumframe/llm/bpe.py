@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 
 #: So many units, and as many pattern matches, a worker remembers twice over: when the newer half is full, the older
 #: half is forgotten. It bounds memory and changes no result.
-UNITS = 150_000
+UNITS = 200_000
 #: Longer units are encoded anew each time.
 UNIT_CHARS = 64
-#: A space with white space on both sides, or before it and the end after it: there a text isn't cut into units.
-_RUN = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
+#: A text with white space beside white space, or at its end, isn't cut into units.
+_RUN = regex.compile(r"[\s\x1c-\x1f](?:[\s\x1c-\x1f]|\Z)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,8 +98,9 @@ class Memo:
 
 
 class Codec:
-    """Encodes texts and decodes ids. A text is cut before each space that a unit can begin with, where the pattern
-    always ends a match; units repeat, so each is encoded once and remembered."""
+    """Encodes texts and decodes ids. The pattern ends a match before a space, and before and after a line feed, that
+    stands between characters other than white space. A text is cut there; units, a space or a line feed and what
+    follows it, repeat, so each is encoded once and remembered."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
@@ -118,19 +119,19 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _unit(self, unit: str) -> tuple[str, bytes]:
-        """Its ids, each after a space, and the bytes that these ids decode to."""
-        ids = self.encode(unit)
+        """Its ids, each after a space, and the bytes that these ids decode to. A unit is given without its space."""
+        ids = self.encode(unit if unit[:1] == "\n" else " " + unit)
         return "".join([f" {x}" for x in ids]), self.decode(ids)
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by one space, SHA-256 of the bytes decoded from the ids."""
-        if "  " in text or _RUN.search(text):
+        if _RUN.search(text):
             ids = self.encode(text)
             return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
-        first, *rest = text.split(" ")
-        found = [self._unit(first)]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        ids = self.encode(first)
         get, make = self.units.newer.get, self.units.make
-        found += [get(x) or make(x) for x in map(" ".__add__, rest)]
+        found = [("".join([f" {x}" for x in ids]), self.decode(ids)), *[get(x) or make(x) for x in rest]]
         said = "".join([x[0] for x in found])
         return said.count(" "), hashlib.sha256(said[1:].encode()).hexdigest(), hashlib.sha256(b"".join([x[1] for x in found])).hexdigest()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumframe.llm import bpe, exact_dedup, idstore, packing, simhash
+from vellumframe.llm import bpe, exact_dedup, idstore, packing, pii, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.stored(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op9_pii": op9_pii,
     "op10_idstore": op10_idstore,
 }
 
