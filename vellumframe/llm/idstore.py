@@ -117,7 +117,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunker, sent = Encoder(vocabulary), Chunker(), set()
-        narrow = max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16
+        narrow = max(encoder.size, end_id + 1) <= 1 << 16
         end = np.array([end_id], wide).tobytes()
         for batch in batches:
             digests, payloads, own, recipes, lengths = [], [], [], [], []
@@ -180,7 +180,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/packs/is_chunk=true").select("digest", "payload")
+    return spark.read.schema("digest binary, payload binary, is_chunk boolean").parquet(f"{path}/packs").where("is_chunk").select("digest", "payload")
 
 
 def read_facts(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
