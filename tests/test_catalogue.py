@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pytest
 
 import oracle_check
-from vellumframe.plans import catalogue
+from vellumframe.plans import catalogue, fixtures  # noqa: F401
 
 
 @pytest.fixture(scope="module")
