@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumframe.operators.ordered import running_before
+
 
 def runs(df: DataFrame, keys: list[str], at: str, gap: float, order: list[str]) -> DataFrame:
-    """df with run: 0-based; a new run begins where `at` is more than gap after the row before."""
-    window = Window.partitionBy(*keys).orderBy(at, *order)
-    new = (F.col(at) - F.lag(at).over(window) > gap).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    """df with run: 0-based; a new run begins where `at` is more than gap after the row before. `at` holds no nulls."""
+    ties = (at, *order)
+    rows = df.withColumn("_at", F.floor(F.col(at)).cast("long"))
+    rows = running_before(rows, keys, "_at", at, "_prev", "last", ties)
+    rows = rows.withColumn("_new", F.coalesce(F.col(at) - F.col("_prev") > gap, F.lit(False)).cast("long"))
+    return running_before(rows, keys, "_at", "_new", "_runs", "sum", ties).withColumn("run", F.col("_runs") + F.col("_new")).drop("_at", "_prev", "_new", "_runs")
 
 
 def merged(df: DataFrame, keys: list[str], at: str, gap: float, order: list[str]) -> DataFrame:
@@ -21,9 +25,8 @@ def merged(df: DataFrame, keys: list[str], at: str, gap: float, order: list[str]
 def gutters(df: DataFrame, keys: list[str], begin: str, end: str, least) -> DataFrame:
     """keys, gap_start, gap_end: stretches of at least `least` between intervals that nothing covers. Equal intervals are
     taken once before the window."""
-    window = Window.partitionBy(*keys).orderBy(begin, end).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(end).over(window)
-    rows = df.select(*keys, begin, end).distinct().withColumn("gap_start", reach).withColumn("gap_end", F.col(begin))
+    rows = df.select(*keys, begin, end).distinct().withColumn("_at", F.floor(F.col(begin)).cast("long"))
+    rows = running_before(rows, keys, "_at", end, "gap_start", "max", (begin, end)).withColumn("gap_end", F.col(begin))
     return rows.where(F.col("gap_end") - F.col("gap_start") >= least).select(*keys, "gap_start", "gap_end")
 
 

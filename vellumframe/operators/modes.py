@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumframe.operators.ordered import running_before
+
 
 def weighted_mode(df: DataFrame, keys: list[str], value: str, weight, order) -> DataFrame:
     """keys, mode, weight: the value with the largest sum of weights; of equal sums, the one seen first by order."""
@@ -31,15 +33,17 @@ def top_counts(df: DataFrame, keys: list[str], value: str, k: int, order) -> Dat
 
 
 def at_index(df: DataFrame, keys: list[str], value: str, index, name: str) -> DataFrame:
-    """The value at a 0-based index of the sorted values of each group; index: a function of their number.
+    """The value at a 0-based index of the sorted values of each group; index: a function of their number. Nulls don't count.
 
-    Values are counted first and taken by running sums of counts, so a window holds distinct values, not rows.
+    Values are counted first and taken by running sums of counts over buckets of values.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    window = Window.partitionBy(*keys).orderBy(value)
-    all_rows = F.sum("_n").over(Window.partitionBy(*keys))
-    placed = counted.withColumn("_end", F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", index(all_rows))
-    return placed.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n"))).select(*keys, F.col(value).alias(name), F.col("_at").cast("long").alias("at"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*[F.col(k).alias(f"_{k}") for k in keys], index(F.col("_total")).cast("long").alias("at"))
+    placed = running_before(counted.withColumn("_order", F.floor(F.col(value)).cast("long")), keys, "_order", "_n", "_before", "sum", (value,))
+    on = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return placed.join(totals, on).select(*keys, F.col(value).alias(name), "at")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

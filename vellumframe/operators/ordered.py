@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 FIRST, NEXT = 10, 16
 
 
-def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, shift: int = FIRST) -> DataFrame:
-    """df with `name`: the sum of value over rows of the same keys with a smaller order. Rows of one order: any order."""
+def running_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, how: str = "sum", ties: tuple[str, ...] = (), shift: int = FIRST) -> DataFrame:
+    """df with `name`, over the rows of the same keys that come before by order (a long) and ties: the sum of value, its
+    maximum, or the last one. Without such rows 0 for the sum, else null; value holds no nulls. Rows alike in order and
+    ties come in any order."""
+    before = lambda *by: Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    over = {"sum": F.sum, "max": F.max, "last": F.last}[how](value)
+    first = F.lit(0) if how == "sum" else F.lit(None)
     if shift > 64:
-        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    b, total, base, own = (f"_{x}{shift}" for x in ("bucket", "sum", "base", "own"))
+        return df.withColumn(name, F.coalesce(over.over(before(*keys)), first))
+    b, all_, base, own = (f"_{x}{shift}" for x in ("bucket", "all", "base", "own"))
     rows = df.withColumn(b, F.shiftright(order, FIRST if shift == FIRST else NEXT))
-    sums = rows.groupBy(*keys, b).agg(F.sum(value).alias(total))
-    above = sums_before(sums, keys, b, total, base, shift + NEXT).select(*[F.col(k).alias(f"{k}_{shift}") for k in keys], F.col(b).alias(f"{b}_of"), base)
-    within = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn(own, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    whole = F.max_by(value, F.struct(order, *ties)) if how == "last" else over
+    sums = rows.groupBy(*keys, b).agg(whole.alias(all_))
+    above = running_before(sums, keys, b, all_, base, how, (), shift + NEXT).select(*[F.col(k).alias(f"{k}_{shift}") for k in keys], F.col(b).alias(f"{b}_of"), base)
+    placed = rows.withColumn(own, F.coalesce(over.over(before(*keys, b)), first))
     on = F.col(b).eqNullSafe(F.col(f"{b}_of"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}_{shift}"))
-    return placed.join(above, on).withColumn(name, F.col(own) + F.col(base)).drop(b, f"{b}_of", own, base, *[f"{k}_{shift}" for k in keys])
+    both = {"sum": F.col(own) + F.col(base), "max": F.greatest(own, base), "last": F.coalesce(own, base)}[how]
+    return placed.join(above, on).withColumn(name, both).drop(b, f"{b}_of", own, base, *[f"{k}_{shift}" for k in keys])
+
+
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of value over rows of the same keys with a smaller order. Rows of one order: any order."""
+    return running_before(df, keys, order, value, name)
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:

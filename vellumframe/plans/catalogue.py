@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
@@ -375,9 +375,9 @@ def weighted_mode(spark, sf_dir):
 """)
 def upper_median_gap(spark, sf_dir):
     """The upper median of the gaps between a user's events: the rule of a book's line pitch."""
-    rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id")
-    gap = micros("ts") - F.lag(micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return modes.upper_median(rows.select("user_id", gap.alias("gap")), ["user_id"], "gap", "gap")
+    rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id").select("user_id", micros("ts").alias("t"), "event_id")
+    rows = ordered.running_before(rows, ["user_id"], "t", "t", "prev", "last", ("event_id",))
+    return modes.upper_median(rows.select("user_id", (F.col("t") - F.col("prev")).alias("gap")), ["user_id"], "gap", "gap")
 
 
 @query("SELECT l_partkey, list_sort(list(l_extendedprice))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS edge, CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) AS at FROM lineitem GROUP BY 1")
