@@ -205,10 +205,10 @@ STOP_WORDS = {
 def language(text) -> Column:
     """STRUCT<lang, hits, total> for Latin script: the language with most stop words, null below 3 hits or 20 characters."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúüñàèìòùâêîôûçäöß]+"), F.lit(0))
-    of = lambda stops: F.size(F.filter(tokens, lambda w: w.isin(*stops)))
-    hits = [(k, of(v.split())) for k, v in STOP_WORDS.items()]
-    counted = F.array(*[F.struct(h.alias("hits"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, h) in enumerate(hits)])
-    best = F.array_max(counted)
-    total = F.aggregate(counted, F.lit(0), lambda a, x: a + x["hits"])
-    known = (F.length(text) >= 20) & (best["hits"] >= 3)
-    return F.struct(F.when(known, best["lang"]).alias("lang"), F.coalesce(best["hits"], F.lit(0)).alias("hits"), F.coalesce(total, F.lit(0)).alias("total"))
+    of = lambda t, stops: F.size(F.filter(t, lambda w: w.isin(*stops)))
+    # The variable of a lambda is evaluated once, so tokens and counts are bound to one each.
+    once = lambda value, fn: F.get(F.transform(F.array(value), fn), F.lit(0))
+    counted = once(tokens, lambda t: F.array(*[F.struct(of(t, v.split()).alias("hits"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(STOP_WORDS.items())]))
+    found = once(counted, lambda c: F.struct(F.array_max(c).alias("best"), F.aggregate(c, F.lit(0), lambda a, x: a + x["hits"]).alias("total")))
+    known = lambda f: (F.length(text) >= 20) & (f["best"]["hits"] >= 3)
+    return once(found, lambda f: F.struct(F.when(known(f), f["best"]["lang"]).alias("lang"), F.coalesce(f["best"]["hits"], F.lit(0)).alias("hits"), F.coalesce(f["total"], F.lit(0)).alias("total")))
