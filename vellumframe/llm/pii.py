@@ -105,19 +105,27 @@ class Tape:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
+    found = detect(text)
+    # A span that is whole as it stands ends at a stop or comma before a blank; an address of four numbers at any blank.
+    ends = {b: kind for kind, _, b in found if kind != "email"}
+    starts = {a for kind, a, _ in found if kind == "ip"}
     for run in _SPELLED_RUN.finditer(text):
         if not _THREE.search(run[0]):
             continue
-        made, at, stop = [], 0, len(run[0].rstrip(" ,.-"))
+        parts, at, stop = [[]], 0, len(run[0].rstrip(" ,.-"))
         while at < stop and (m := _DIGIT_TOKEN.match(run[0], at)) and m.end() > at:
             spelled, dot = m[1], m[2]
             gap = m[0].strip() in ("", ",", "-", ".") and not spelled
             new = DIGITS[spelled.lower()] if spelled else "." if dot else "+" if m[0].lower() in ("plus ", "+") else m[0] if not gap else "." if m[0] == "." else ""
-            if m.end() <= stop:
-                made.append((run.start() + at, run.start() + m.end(), new))
+            a, b = run.start() + at, run.start() + m.end()
+            if gap and not dot and " " in m[0] and (ends.get(a) == "ip" or b in starts or a in ends and m[0][0] in ".,"):
+                parts.append([])
+            elif m.end() <= stop:
+                parts[-1].append((a, b, new))
             at = m.end()
-        if sum(c.isdigit() for _, _, new in made for c in new) >= 4:
-            edits += [x for x in made if x[2] != text[x[0] : x[1]]]
+        for made in parts:
+            if sum(c.isdigit() for _, _, new in made for c in new) >= 4:
+                edits += [x for x in made if x[2] != text[x[0] : x[1]]]
     return edits
 
 
@@ -125,6 +133,8 @@ def _worded(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _WORDED.finditer(text):
         for part in _WORDED_PART.finditer(m[0]):
+            if part["dot"] and part[0].strip() == "." and part[0] != "." and EMAIL.fullmatch(m[0], 0, part.start()):
+                break  # the address is whole, and this stop ends the sentence
             edits.append((m.start() + part.start(), m.start() + part.end(), "@" if part["at"] else "."))
     return edits
 
@@ -147,7 +157,8 @@ def normalise(text: str) -> Tape | None:
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that only the rewritten text shows: mapped back, and apart from base spans of any kind."""
+    """Base spans, and those that only the rewritten text shows: mapped back, and not inside a base span of any kind. They
+    may reach over base spans, which stay beside them."""
     base = detect(text)
     tape = normalise(text)
     if tape is None:
@@ -155,7 +166,7 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     more = []
     for kind, a, b in detect(tape.text):
         at = (kind, tape.begin[a], max(tape.end[a:b]))
-        if all(at[2] <= s or at[1] >= e for _, s, e in base) and at not in more:
+        if not any(s <= at[1] and at[2] <= e for _, s, e in base) and at not in more:
             more.append(at)
     return base, more
 
