@@ -41,16 +41,28 @@ DIGITS = {
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKE) + INVISIBLE) + "]")
 _PLAIN = re.compile(r"[ -~\n\t]*\Z")
 _WORD_DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-#: A run of at least seven spelled digits or digits, with at least three spelled in a row.
+#: A run of digits and spelled ones; those with a spelled digit or a dot as a word are rewritten.
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:\+|plus )?(?:(?:{_WORD_DIGIT}|[0-9]+)(?:(?:[ .,-]|, )(?:dot|point|punto|punkt)?[ .,-]?|\b))+(?![^\W_])", re.I)
-_THREE = re.compile(rf"(?<![^\W_])(?:{_WORD_DIGIT}[ ,.-]{{1,2}}){{2}}{_WORD_DIGIT}(?![^\W_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD_DIGIT}|dot|point|punto|punkt)(?![^\W_])", re.I)
 _DIGIT_TOKEN = re.compile(rf"({_WORD_DIGIT})(?![^\W_])|[0-9]+|\bplus |\+|(?:[ ,-]*\b(dot|point|punto|punkt)\b[ ,-]*)|[ ,.-]+", re.I)
 _AT = r"(?:\s?[\[({<]\s?(?:at|@|arobase|arroba|ät)\s?[\])}>]\s?)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.|point|punto|punkt)\s?[\])}>]\s?)"
 #: Bracketed disguises, spaced signs, and words where both at and dot are words and the last part looks like a domain's.
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+"
-_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|\s(?:dot|punto|punkt)\s){_NAME})*(?:\s(?:at|arobase|arroba)\s|\s?@\s?)[A-Za-z0-9-]+(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?|\.\s)[A-Za-z0-9-]+)*(?:\s(?:dot|point|punto|punkt)\s|\s?\.\s?)(?:com|net|org|edu|gov|io|info|biz|co|fr|de|es|uk|eu|ch|at|it|nl|example|test)(?![A-Za-z0-9-])", re.I)
+#: Last parts that are taken after any at and dot; after a dot that is a word, see _LAST_ANY.
+_LAST = "(?:com|net|org|edu|gov|io|info|biz|co|fr|de|es|uk|eu|ch|at|it|nl|example|test)(?![A-Za-z0-9-])"
+_LAST_ANY = "(?P<any>[A-Za-z]{2,})(?![A-Za-z0-9-])"
+_LABEL = "[A-Za-z0-9-]+"
+_BEFORE = rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|\s(?:dot|punto|punkt)\s){_NAME})*"
+#: After a sign or a word that means nothing else, blanks may stand around a dot.
+_SIGNED = re.compile(rf"{_BEFORE}(?:\s(?:arobase|arroba)\s|\s?@\s?){_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?|\.\s){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.\s?){_LAST}|\s(?:dot|point|punto|punkt)\s{_LAST_ANY})", re.I)
+#: Of them, those that begin no sentence.
+_LAST_LOW = "(?-i:com|org|edu|gov|io|biz|uk|eu|fr|nl|ch)(?![A-Za-z0-9-])"
+#: After the word at, a stop before a blank ends a sentence unless such a part follows, and point is a common word ("at this point we").
+_WORDED = re.compile(rf"{_BEFORE}\sat\s{_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.){_LAST}|\s?\.\s{_LAST_LOW}|\s(?:dot|punto|punkt)\s{_LAST_ANY})", re.I)
+#: "at the dot matrix": before an unlisted last part, these words are no host.
+_NO_HOST = re.compile(r"\b(?:the|a|an|this|that|each|every|any|one|some|no|its|his|her|their|our|my|your)\s(?:dot|punto|punkt)\s[a-z]+\Z", re.I)
 _WORDED_PART = re.compile(r"(?P<at>\s(?:at|arobase|arroba)\s|\s?@\s?)|(?P<dot>\s(?:dot|point|punto|punkt)\s|\s?\.\s?)", re.I)
 
 
@@ -110,7 +122,7 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     ends = {b: kind for kind, _, b in found if kind != "email"}
     starts = {a for kind, a, _ in found if kind == "ip"}
     for run in _SPELLED_RUN.finditer(text):
-        if not _THREE.search(run[0]):
+        if not _SPELLED.search(run[0]):
             continue
         parts, at, stop = [[]], 0, len(run[0].rstrip(" ,.-"))
         while at < stop and (m := _DIGIT_TOKEN.match(run[0], at)) and m.end() > at:
@@ -131,7 +143,9 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def _worded(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _WORDED.finditer(text):
+    for m in sorted([*_SIGNED.finditer(text), *_WORDED.finditer(text)], key=re.Match.start):
+        if edits and m.start() < edits[-1][1] or m.re is _WORDED and m["any"] and _NO_HOST.search(m[0]):
+            continue
         for part in _WORDED_PART.finditer(m[0]):
             if part["dot"] and part[0].strip() == "." and part[0] != "." and EMAIL.fullmatch(m[0], 0, part.start()):
                 break  # the address is whole, and this stop ends the sentence
@@ -139,7 +153,8 @@ def _worded(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-_MAY_WORD = re.compile(r"\s(?:dot|point|punto|punkt)\s|\s@|@\s|\s\.\S|@[^\s@]{1,80}\s?\.\s", re.I)
+#: What every match of the worded patterns has: an at, the first part of a host, and a dot.
+_MAY_WORD = re.compile(rf"(?:\s(?:at|arobase|arroba)\s|@\s?){_LABEL}\s?(?:\.|(?:dot|point|punto|punkt)\s)", re.I)
 
 
 def normalise(text: str) -> Tape | None:
@@ -149,7 +164,7 @@ def normalise(text: str) -> Tape | None:
         tape.rewrite([(m.start(), m.end(), LOOK_ALIKE.get(m[0], "")) for m in _ODD.finditer(text)])
     if "[" in tape.text or "(" in tape.text or "{" in tape.text or "<" in tape.text:
         tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)])
-    if _THREE.search(tape.text):
+    if _SPELLED.search(tape.text):
         tape.rewrite(_spelled(tape.text))
     if _MAY_WORD.search(tape.text):
         tape.rewrite(_worded(tape.text))
