@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +181,20 @@ def _compared(keyed: DataFrame, last: bool) -> DataFrame:
     return cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long"), "links")
 
 
+def _divided(over: DataFrame, level: int) -> DataFrame:
+    """Rows (key, fp) of large anchors under the keys of their parts. Bit 32 of a key says which half its anchor is of."""
+    other = F.when(F.shiftright("key", 32).bitwiseAND(1) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    if level == 1:
+        parts = [[(8 * i, 8)] for i in range(4)]
+    else:
+        blocks = [(0, 5), (5, 5), (10, 5), (15, 5), (20, 6), (26, 6)]
+        parts = [list(c) for c in combinations(blocks, 3)]
+    exact = [F.struct(F.lit(i).alias("i"), *[F.shiftright(other, at).bitwiseAND((1 << n) - 1).alias(f"b{j}") for j, (at, n) in enumerate(p)]) for i, p in enumerate(parts)]
+    sub = over.select("key", "fp", F.explode(F.array(*exact)).alias("x"))
+    mixed = F.xxhash64("key", "x").bitwiseAND(~(1 << 32)).bitwiseAND((1 << 62) - 1).bitwiseOR(F.col("key").bitwiseAND(1 << 32))
+    return sub.select(mixed.alias("key"), "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints (column fp) that keep together what links at THRESHOLD bits or fewer.
 
@@ -201,19 +215,7 @@ def links(fps: DataFrame) -> DataFrame:
         over = found.where("key is not null").select("key", F.col("a").alias("fp"))
         if over.isEmpty():
             break
-        other = F.when(F.shiftright("key", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-        if level == 1:
-            parts = [[(8 * i, 8)] for i in range(4)]
-        else:
-            from itertools import combinations
-
-            blocks = [(0, 5), (5, 5), (10, 5), (15, 5), (20, 6), (26, 6)]
-            parts = [list(c) for c in combinations(blocks, 3)]
-        exact = [F.struct(F.lit(i).alias("i"), *[F.shiftright(other, at).bitwiseAND((1 << n) - 1).alias(f"b{j}") for j, (at, n) in enumerate(p)]) for i, p in enumerate(parts)]
-        sub = over.select("key", "fp", F.explode(F.array(*exact)).alias("x"))
-        # The key of the next level keeps which half the anchor is of in bit 32, as `other` reads it.
-        mixed = F.xxhash64("key", "x").bitwiseAND(~(1 << 32)).bitwiseAND((1 << 62) - 1).bitwiseOR(F.col("key").bitwiseAND(1 << 32))
-        found = _compared(sub.select(mixed.alias("key"), "fp"), last=level == 2)
+        found = _compared(_divided(over, level), last=level == 2)
         edges.append(found.where("key is null").select("a", "b"))
     out = edges[0]
     for more in edges[1:]:
