@@ -1,56 +1,117 @@
-"""Ids of a byte-level BPE vocabulary file of the tokenizers library, as that library would give them.
+"""Ids of a byte-level BPE vocabulary file of the tokenizers library, as that library gives them.
 
-The file's tokens are loaded into tiktoken's encoder: for these vocabularies, whose ids ascend in the order of merges, it
-applies the same merges to the same pattern's matches, several times as fast. Each worker holds a set of probes against the
-library itself before it encodes anything, and tests hold whole tables against it.
+All ids come from the library. A text is cut into units whose ids don't depend on what stands around them (units.py), and
+each worker asks the library once for a unit that it remembers. New units go to it as lines of a text, since a call for
+each costs more than its ids. Texts that hold the name of an added token, and vocabularies of another kind, go to it whole.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The split pattern of the ByteLevel pre-tokenizer (a fixed value of the vocabulary's format).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PROBES = ["", " ", "a", "The  quick\n\n brown fox's 12345 'll.", "Été à  Köln: ¿qué? ½ ① 中文字 🙂🏽\t\r\n x ", "\x1c\x85   　­ab​cd", "<|endoftext|>", "!!! %%% $$$ ***" * 3, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "don't we'RE it's I'd"]
+from vellumframe.llm.units import Remembered, spread
 
+#: Units that go to the library as one text, and marks that are cut off them.
+LINE, MARKS = 100, ".,;:!?"
 
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow 255."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+class Encoder(Remembered):
+    """Ids of whole texts. Names of added tokens, special ones among them, are read as these tokens, as the library does
+    unless told otherwise."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letter = byte_letters()
-        ranks = {bytes([letter[c] for c in token]): i for token, i in model["vocab"].items() if all(c in letter for c in token)}
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        ranks = {k: v for k, v in ranks.items() if k.decode("latin-1") not in special}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            file = json.load(f)
         self.size = self.library.get_vocab_size()
-        for probe in _PROBES:
-            if self.encoding.encode_ordinary(probe) != self._library_ids(probe):
-                raise ValueError("this vocabulary's ids differ between the libraries")
+        self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        kind = file.get("pre_tokenizer") or {}
+        self.line_end = self._of(["\n"])[0]
+        self.marks = {x: int(found[0]) for x, found in zip(MARKS, self._of(list(MARKS)), strict=True) if len(found) == 1}
+        # Only for such a file are units what units.py says, and a line end one id that no other token holds.
+        self.by_units = (
+            kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and file.get("normalizer") is None and file.get("truncation") is None
+            and file.get("padding") is None and file["model"].get("type") == "BPE" and not file["model"].get("dropout") and len(self.line_end) == 1 and not any("\n" in x for x in self.names)
+        )
+        self.forget()
+
+    def _of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def forget(self) -> None:
+        self.ids, self.begin, self.length = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, units: list[str]) -> None:
+        # A line end beside white space would join its run. A mark after a letter is a match of its own, and is put back after
+        # the word. Words in order have beginnings in common, which keeps the library's tables near.
+        plain = [x != "" and "\n" not in x and not x[-1].isspace() and not x[x[0] == " "].isspace() for x in units]
+        words = [x for x, p in zip(units, plain, strict=True) if p]
+        marks = [self.marks.get(x[-1], -1) if "a" <= x[-2:-1] <= "ɏ" and x[-2].isalpha() else -1 for x in words]
+        heads = [x if m < 0 else x[:-1] for x, m in zip(words, marks, strict=True)]
+        asked = sorted(set(heads))
+        stream = np.concatenate([np.empty(0, "<u4"), *[np.append(x, self.line_end) for x in self._of(["\n".join(asked[at : at + LINE]) for at in range(0, len(asked), LINE)])]])
+        ends = np.flatnonzero(stream == self.line_end[0])
+        if len(ends) != len(asked):
+            raise ValueError("the vocabulary has other line ends than one id for each")
+        number = dict(zip(asked, range(len(asked)), strict=True))
+        of = np.fromiter(map(number.__getitem__, heads), np.int64, len(heads))
+        alone = self._of([x for x, p in zip(units, plain, strict=True) if not p])
+        marks, plain, starts = np.array(marks, np.int64), np.array(plain, bool), np.append(0, ends + 1)
+        length = np.empty(len(units), np.int64)
+        length[plain], length[~plain] = np.diff(starts)[of] - 1 + (marks >= 0), [len(x) for x in alone]
+        begin = np.cumsum(length) - length
+        data = np.empty(int(length.sum()), "<u4")
+        data[spread(begin[plain], length[plain] - (marks >= 0))] = stream[spread(starts[of], length[plain] - (marks >= 0))]
+        data[(begin + length)[plain][marks >= 0] - 1] = marks[marks >= 0]
+        data[spread(begin[~plain], length[~plain])] = np.concatenate([np.empty(0, "<u4"), *alone])
+        self.begin, self.length = np.append(self.begin, begin + len(self.ids)), np.append(self.length, length)
+        self.ids = np.append(self.ids, data)
+
+    def encode_batch(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as little-endian unsigned 32-bit integers, and where those of each text begin, and the last end. Null
+        is empty. end_id, if given, follows each text's ids."""
+        texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), not self.by_units)
+        for name in self.names:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        tail = np.array([] if end_id is None else [end_id], "<u4")
+        rows = np.flatnonzero(whole)
+        parts = list(zip(rows.tolist(), self._of(texts.take(pa.array(rows)).to_pylist()), strict=True))
+        units = np.flatnonzero(~whole)
+        length = np.zeros(len(texts), np.int64)
+        blocks = []
+        for k, slots, offsets in self.of(texts.take(pa.array(units))):
+            sizes = self.length[slots]
+            ids = self.ids[spread(self.begin[slots], sizes)]
+            blocks.append((units[k], ids, np.append(0, np.cumsum(sizes))[offsets]))
+        blocks += [(np.array([k]), x, np.array([0, len(x)])) for k, x in parts]
+        for k, _, offsets in blocks:
+            np.add.at(length, k, np.diff(offsets))
+        offsets = np.append(0, np.cumsum(length + len(tail)))
+        out, at = np.empty(int(offsets[-1]), "<u4"), offsets[:-1].copy()
+        for k, ids, own in blocks:
+            sizes = np.diff(own)
+            out[spread(at[k], sizes)] = ids
+            at[k] += sizes
+        if len(tail):
+            out[at] = tail[0]
+        return out, offsets
 
-    def _library_ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file; a worker that runs several tasks keeps it, with what it remembers."""
+    return Encoder(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -11,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumframe.llm.ids import Encoder
+from vellumframe.llm.ids import encoder
+from vellumframe.llm.units import row_groups, spread
 from vellumframe.llm.work import cut
 
 CAPACITY = 1024
-#: Rows of a length that are numbered together.
-NUMBERED = 20_000
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -32,21 +32,21 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            own, rows, ids = [], [], []
-            for k, data in enumerate(encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
-                data += end
-                start = 0
-                for piece, n in enumerate(cut_lengths(len(data) // 4, capacity)):
-                    part = data[4 * start : 4 * (start + n)]
-                    own.append(k)
-                    rows.append((piece, start, n, zlib.crc32(part)))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
-                    start += n
-            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *cols, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names)
+            for a, b in row_groups(batch.column(1)):
+                ids, offsets = encoder(path).encode_batch(batch.column(1)[a:b], end_id)
+                n = np.diff(offsets)
+                first = np.where(n % capacity, n % capacity, np.minimum(n, capacity))
+                count = 1 + (n - first) // capacity
+                own, piece = np.repeat(np.arange(b - a), count), spread(np.zeros(b - a, np.int64), count)
+                length = np.where(piece == 0, first[own], capacity)
+                start = np.where(piece == 0, 0, first[own] + (piece - 1) * capacity)
+                data, at = memoryview(ids).cast("B"), 4 * (offsets[own] + start)
+                crcs = [zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                cols = [batch.column(0)[a:b].take(pa.array(own)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(ids.view("<i4"))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
@@ -117,8 +117,9 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
         sequence += times
     at = np.array(sorted(slots), np.int64).reshape(-1, 4)
     keys = (at[:, 0] << 44) + at[:, 1]
-    buckets = max(1, sum(counts.values()) // NUMBERED)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    # A length of n pieces is dealt to about sqrt(n) buckets of about sqrt(n) pieces.
+    buckets = F.lit([max(1, math.isqrt(counts.get(n, 0))) for n in range(capacity + 1)])
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), buckets[F.col("length").cast("int")].cast("long")))
     sums = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sums.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("_before"))
     own = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
