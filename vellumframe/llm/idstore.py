@@ -1,9 +1,9 @@
 """A content-addressed store of token ids: unique chunks, document recipes in id order, Merkle roots.
 
-Files, all Parquet, below one folder: packs/is_chunk=true/ (digest, payload of little-endian unsigned 16- or 32-bit
-ids), packs/is_chunk=false/ (what documents refer to, in the order in which it came), recipes/
-(id, start, n_tokens, the digests and lengths of its chunks, its Merkle root; ascending ids, file after file) and
-manifest/ (bucket of ids, number of documents, ids, and the Merkle root over their roots).
+Files, all Parquet, below one folder: packs/ (with is_chunk: digest, payload of little-endian unsigned ids, and their width of
+2 or 4 bytes; without: what documents refer to, in the order in which it came), recipes/ (id, start, n_tokens, the digests
+and lengths of its chunks, its Merkle root; ascending ids, file after file) and manifest/ (for each run of SPAN ids of the
+whole stream the documents that begin in it, their ids, and the root over their roots).
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumframe.llm.ids import Encoder
-from vellumframe.llm.ordered import bucket, starts
+from vellumframe.llm.ids import encoder
+from vellumframe.llm.ordered import starts
+from vellumframe.llm.units import row_groups
 from vellumframe.llm.work import cut, new_path
 
 #: A chunk ends where the hash of the last WINDOW ids has its low CUT_BITS bits zero, and after MOST ids at the latest.
 WINDOW, CUT_BITS, MOST = 16, 9, 8192
+#: Bits of the length of a span of the manifest.
+SPAN_BITS = 18
 #: Digests of chunks that a task has already sent on; at most so many are remembered.
 SENT = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,33 +38,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(np.append(np.uint64(1), np.full(n - 1, _BASE))), np.cumprod(np.append(np.uint64(1), np.full(n - 1, inverse)))
 
 
-class Chunker:
-    """Cuts id streams by a polynomial rolling hash, computed from prefix sums."""
-
-    def __init__(self):
-        self.up, self.down = _powers(1 << 12)
-
-    def ends(self, ids: np.ndarray) -> list[int]:
-        n = len(ids)
-        if n > len(self.up):
-            self.up, self.down = _powers(2 * n)
-        cuts = []
-        if n > WINDOW:
-            with np.errstate(over="ignore"):
-                value = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                total = np.cumsum((value ^ (value >> np.uint64(29))) * self.up[:n])
-                rolled = (total[WINDOW:] - total[:-WINDOW]) * self.down[WINDOW:n]
-                rolled ^= rolled >> np.uint64(32)
-            cuts = (np.flatnonzero((rolled & np.uint64((1 << CUT_BITS) - 1)) == 0) + WINDOW + 1).tolist()
-        out, last = [], 0
-        for end in [*cuts, n]:
-            while end - last > MOST:
-                last += MOST
-                out.append(last)
-            if end > last:
-                out.append(end)
-                last = end
-        return out
+_UP, _DOWN = _powers(1 << 16)
+
+
+def chunk_ends(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the chunks of id streams end that lie one after the other and end at `ends`; no chunk reaches over one.
+
+    A polynomial rolling hash, from prefix sums over blocks that overlap by a window. A window that begins before its
+    document cuts nothing.
+    """
+    cuts, step = [], len(_UP) - WINDOW
+    with np.errstate(over="ignore"):
+        for at in range(0, len(ids) - WINDOW, step):
+            part = ids[at : at + step + WINDOW]
+            value = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            total = np.cumsum((value ^ (value >> np.uint64(29))) * _UP[: len(part)])
+            rolled = (total[WINDOW:] - total[:-WINDOW]) * _DOWN[WINDOW : len(part)]
+            rolled ^= rolled >> np.uint64(32)
+            cuts.append(np.flatnonzero((rolled & np.uint64((1 << CUT_BITS) - 1)) == 0) + (at + WINDOW + 1))
+    found = np.concatenate([np.empty(0, np.int64), *cuts])
+    begins = np.append(0, ends)[np.searchsorted(ends, found, "left")]
+    out = np.union1d(found[found - begins > WINDOW], ends)
+    long = np.flatnonzero(np.diff(out, prepend=0) > MOST)
+    more = [np.arange((out[i - 1] if i else 0) + MOST, out[i], MOST) for i in long.tolist()]
+    return np.union1d(out, np.concatenate(more)) if more else out
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -113,56 +114,53 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
     """
     spark = df.sparkSession
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    wide = "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunker, sent = Encoder(vocabulary), Chunker(), set()
-        narrow = max(encoder.size, end_id + 1) <= 1 << 16
-        end = np.array([end_id], wide).tobytes()
+        encode, sent = encoder(vocabulary), set()
+        width = 2 if max(encode.size, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            digests, payloads, own, recipes, lengths = [], [], [], [], []
-            for k, data in enumerate(encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
-                ids = np.frombuffer(data + end, wide)
-                begin, recipe, sizes = 0, [], []
-                for stop in chunker.ends(ids):
-                    part = ids[begin:stop]
-                    payload = part.astype("<u2").tobytes() if narrow else part.tobytes()
-                    digest = hashlib.sha256(payload).digest()
-                    if digest not in sent:
+            for a, b in row_groups(batch.column(1)):
+                ids, documents = encode.encode_batch(batch.column(1)[a:b], end_id)
+                ends = chunk_ends(ids, documents[1:])
+                begins = np.append(0, ends[:-1])
+                data = ids.astype(f"<u{width}")
+                view = memoryview(data).cast("B")
+                digests = [hashlib.sha256(view[x:y]).digest() for x, y in zip((width * begins).tolist(), (width * ends).tolist(), strict=True)]
+                new = []
+                for digest in digests:
+                    if fresh := digest not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(digest)
-                        digests.append(digest)
-                        payloads.append(payload)
-                    recipe.append(digest)
-                    sizes.append(stop - begin)
-                    begin = stop
-                own.append(k)
-                recipes.append(recipe)
-                lengths.append(sizes)
-            n, m = len(digests), len(own)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([True] * n + [False] * m), pa.array(digests + [hashlib.md5(b"".join(x) + str(i).encode()).digest() for i, x in enumerate(recipes)], pa.binary()), pa.array(payloads + [None] * m, pa.binary()),
-                    pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0)]), pa.array([None] * n + recipes, pa.list_(pa.binary())), pa.array([None] * n + lengths, pa.list_(pa.int32())),
-                ],
-                ["is_chunk", "digest", "payload", "id", "recipe", "lengths"],
-            )
+                    new.append(fresh)
+                of = np.searchsorted(ends, documents[1:]) + 1  # the number of chunks up to the end of each document
+                firsts = np.append(0, of[:-1])
+                # What a document refers to goes by chance, and the same way if the task is run again.
+                by_chance = [hashlib.md5(digests[x] + x.to_bytes(8, "little")).digest() for x in firsts.tolist()]
+                named, offsets = pa.array(digests, pa.binary()), pa.array(np.append(0, of).astype(np.int32))
+                payloads = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((width * np.append(begins, ends[-1])).astype(np.int32)), pa.py_buffer(data)]).filter(pa.array(new))
+                n, m = len(payloads), b - a
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([True] * n + [False] * m), pa.concat_arrays([named.filter(pa.array(new)), pa.array(by_chance, pa.binary())]), pa.concat_arrays([payloads, pa.nulls(m, pa.binary())]), pa.array([width] * (n + m), pa.int32()),
+                        pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0)[a:b]]), pa.concat_arrays([pa.nulls(n, pa.list_(pa.binary())), pa.ListArray.from_arrays(offsets, named)]),
+                        pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(offsets, pa.array((ends - begins).astype(np.int32)))]),
+                    ],
+                    ["is_chunk", "digest", "payload", "width", "id", "recipe", "lengths"],
+                )
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by digest: of equal chunks the first stays."""
-        last = None
+        """Rows sorted by is_chunk and digest: of equal chunks the first stays."""
+        last = pa.nulls(1, pa.binary())
         for batch in batches:
-            use = []
-            for is_chunk, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                use.append(not is_chunk or digest != last)
-                if is_chunk:
-                    last = digest
-            yield batch.filter(pa.array(use, pa.bool_()))
-
-    schema = f"is_chunk boolean, digest binary, payload binary, id {kind}, recipe array<binary>, lengths array<int>"
+            digests = batch.column(1)
+            before = pa.concat_arrays([last, digests[:-1]]) if len(digests) else digests
+            yield batch.filter(pc.invert(pc.and_(batch.column(0), pc.fill_null(pc.equal(digests, before), False))))
+            last = digests[-1:] if len(digests) else last
+
+    schema = f"is_chunk boolean, digest binary, payload binary, width int, id {kind}, recipe array<binary>, lengths array<int>"
     rows = df.select(id_col, text_col).mapInArrow(encode, schema).repartition("digest").sortWithinPartitions("is_chunk", "digest").mapInArrow(unique, schema)
-    rows.write.partitionBy("is_chunk").option("compression", "zstd").parquet(f"{path}/packs")
+    rows.write.option("compression", "lz4").parquet(f"{path}/packs")
 
     found = spark.read.schema(rows.schema).parquet(f"{path}/packs")
     sizes = found.where("not is_chunk").select("id", "recipe", "lengths", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
@@ -175,36 +173,55 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
     placed = starts(sizes, "id", "n_tokens").select("id", "start", "n_tokens", "recipe", "lengths")
     placed.mapInArrow(root, f"id {kind}, start long, n_tokens long, recipe array<binary>, lengths array<int>, root binary").repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = recipes.groupBy(bucket("id").alias("bucket")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    manifest.write.parquet(f"{path}/manifest")
+    _manifest(recipes).write.parquet(f"{path}/manifest")
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """One row for each span of starts that has documents. A document holds an id at least, so a span's are bounded."""
+    roots = F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))
+    return recipes.groupBy(F.shiftright("start", SPAN_BITS).alias("span")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Holds the recipes against the manifest: raises if documents are missing, repeated or changed, or if a span is missing
+    in the manifest. Spans must also follow one another without a gap: their ids before, in sum, are where one begins."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    said, found = spark.read.parquet(f"{path}/manifest"), _manifest(recipes)
+    met = found.join(said.select(F.col("span").alias("_span"), F.struct("documents", "n_tokens", "root").alias("said")), F.col("span") == F.col("_span"), "full")
+    if not met.where(~F.struct("documents", "n_tokens", "root").eqNullSafe(F.col("said")) | F.col("span").isNull() | F.col("_span").isNull()).isEmpty():
+        raise ValueError("recipes differ from the manifest")
+    ends = recipes.agg(F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("sum")).first()
+    if ends["end"] != ends["sum"]:
+        raise ValueError("recipes leave out ids or repeat them")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest binary, payload binary, is_chunk boolean").parquet(f"{path}/packs").where("is_chunk").select("digest", "payload")
+    return spark.read.schema("digest binary, payload binary, width int, is_chunk boolean").parquet(f"{path}/packs").where("is_chunk").select("digest", "payload", "width")
 
 
 def read_facts(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of each document, from the files alone.
 
     Each chunk is read once where it lies, its digest verified and the CRC of its ids taken; these facts, not the ids,
-    meet the recipes. A chunk that is missing or differs from its digest, and a recipe whose root or count differs from
-    what was read, stop the job.
+    meet the recipes. A chunk that is missing or differs from its digest, a recipe whose root or count differs from what was
+    read, and recipes that differ from the manifest stop the job.
     """
+    verify(spark, path)
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for digest, payload, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if hashlib.sha256(payload).digest() != digest:
                     raise ValueError("a chunk differs from its digest")
-                out.append((zlib.crc32(np.frombuffer(payload, "<u2").astype("<u4").tobytes()), len(payload) // 2, zlib.crc32(payload), len(payload) // 4))
-            cols = [pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["digest", "crc2", "n2", "crc4", "n4"])
+                out.append((zlib.crc32(payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4")), len(payload) // width))
+            cols = [pa.array(c, pa.int64()) for c in (list(zip(*out)) or [[]] * 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["digest", "crc", "n"])
 
-    chunks = cut(_chunks(spark, path).mapInArrow(facts, "digest binary, crc2 long, n2 long, crc4 long, n4 long"), "facts")
+    chunks = cut(_chunks(spark, path).mapInArrow(facts, "digest binary, crc long, n long"), "facts")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("start", F.col("id"), "n_tokens", "root", F.posexplode(F.arrays_zip("recipe", "lengths"))).select("start", "id", "n_tokens", "root", "pos", F.col("col.recipe").alias("digest"), F.col("col.lengths").alias("length"))
-    met = parts.join(chunks, "digest", "left").select("start", "id", "n_tokens", "root", F.struct("pos", "digest", "length", "crc2", "n2", "crc4", "n4").alias("part"))
+    met = parts.join(chunks, "digest", "left").select("start", "id", "n_tokens", "root", F.struct("pos", "digest", "length", "crc", "n").alias("part"))
     grouped = met.groupBy("start", "id", "n_tokens", "root").agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +229,10 @@ def read_facts(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
             lists = batch.column(4)
             flat, offsets = lists.flatten(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
             get = lambda n: flat.field(n)
-            if get("crc2").null_count:
+            if get("crc").null_count:
                 raise ValueError("a recipe names a chunk that the store lacks")
-            length = get("length").to_numpy().astype(np.int64)
-            narrow = get("n2").to_numpy() == length
-            crc = np.where(narrow, get("crc2").to_numpy(), get("crc4").to_numpy()).astype(np.uint32)
-            if not (narrow | (get("n4").to_numpy() == length)).all():
+            length, crc = get("length").to_numpy().astype(np.int64), get("crc").to_numpy().astype(np.uint32)
+            if (get("n").to_numpy() != length).any():
                 raise ValueError("a chunk has another length than its recipe says")
             digests = get("digest").to_pylist()
             for i, root in enumerate(batch.column(3).to_pylist()):
@@ -237,11 +252,11 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
     """id, start and the ids of each document, rebuilt from its chunks."""
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("start", "id", F.posexplode(F.arrays_zip("recipe", "lengths"))).select("start", "id", "pos", F.col("col.recipe").alias("digest"), F.col("col.lengths").alias("length"))
-    grouped = parts.join(_chunks(spark, path), "digest").groupBy("start", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "length", "payload"))).alias("parts"))
+    grouped = parts.join(_chunks(spark, path), "digest").groupBy("start", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "width", "payload"))).alias("parts"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.concatenate([np.frombuffer(p["payload"], "<u2" if 2 * p["length"] == len(p["payload"]) else "<u4").astype(np.int32) for p in x]) for x in batch.column(2).to_pylist()]
+            out = [np.concatenate([np.frombuffer(p["payload"], f"<u{p['width']}").astype(np.int32) for p in x]) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.list_(pa.int32()))], [id_col, "start", "ids"])
 
     kind = recipes.schema["id"].dataType.simpleString()
