@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The same matches without a second look at a run: a match of IP begins where a run of digits does, as each takes runs whole.
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 Span = tuple[str, int, int]
 
@@ -49,18 +55,19 @@ _AT = r"(?:\s?[\[({<]\s?(?:at|@|arobase|arroba|ät)\s?[\])}>]\s?)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.|point|punto|punkt)\s?[\])}>]\s?)"
 #: Bracketed disguises, spaced signs, and words where both at and dot are words and the last part looks like a domain's.
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-_NAME = r"[A-Za-z0-9_%+-]+"
 #: Last parts that are taken after any at and dot; after a dot that is a word, see _LAST_ANY.
 _LAST = "(?:com|net|org|edu|gov|io|info|biz|co|fr|de|es|uk|eu|ch|at|it|nl|example|test)(?![A-Za-z0-9-])"
 _LAST_ANY = "(?P<any>[A-Za-z]{2,})(?![A-Za-z0-9-])"
 _LABEL = "[A-Za-z0-9-]+"
-_BEFORE = rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|\s(?:dot|punto|punkt)\s){_NAME})*"
+#: The name before an at, as the reversed text shows it.
+_BEFORE = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|\s(?:tod|otnup|tknup)\s)[A-Za-z0-9_%+-]++)*(?![A-Za-z0-9._%+-])", re.I)
+_AT_SIGN = re.compile(r"\s(?P<worded>at)(?=\s)|\s(?:arobase|arroba)(?=\s)|\s?@", re.I)
 #: After a sign or a word that means nothing else, blanks may stand around a dot.
-_SIGNED = re.compile(rf"{_BEFORE}(?:\s(?:arobase|arroba)\s|\s?@\s?){_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?|\.\s){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.\s?){_LAST}|\s(?:dot|point|punto|punkt)\s{_LAST_ANY})", re.I)
+_SIGNED = re.compile(rf"\s?{_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?|\.\s){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.\s?){_LAST}|\s(?:dot|point|punto|punkt)\s{_LAST_ANY})", re.I)
 #: Of them, those that begin no sentence.
 _LAST_LOW = "(?-i:com|org|edu|gov|io|biz|uk|eu|fr|nl|ch)(?![A-Za-z0-9-])"
 #: After the word at, a stop before a blank ends a sentence unless such a part follows, and point is a common word ("at this point we").
-_WORDED = re.compile(rf"{_BEFORE}\sat\s{_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.){_LAST}|\s?\.\s{_LAST_LOW}|\s(?:dot|punto|punkt)\s{_LAST_ANY})", re.I)
+_WORDED = re.compile(rf"\s{_LABEL}(?:(?:\.|\s(?:dot|point|punto|punkt)\s|\s\.\s?){_LABEL})*(?:(?:\s(?:dot|point|punto|punkt)\s|\s?\.){_LAST}|\s?\.\s{_LAST_LOW}|\s(?:dot|punto|punkt)\s{_LAST_ANY})", re.I)
 #: "at the dot matrix": before an unlisted last part, these words are no host.
 _NO_HOST = re.compile(r"\b(?:the|a|an|this|that|each|every|any|one|some|no|its|his|her|their|our|my|your)\s(?:dot|punto|punkt)\s[a-z]+\Z", re.I)
 _WORDED_PART = re.compile(r"(?P<at>\s(?:at|arobase|arroba)\s|\s?@\s?)|(?P<dot>\s(?:dot|point|punto|punkt)\s|\s?\.\s?)", re.I)
@@ -80,16 +87,29 @@ def _digits(text: str) -> str:
     return "".join([c for c in text if "0" <= c <= "9"])
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of EMAIL, in time that grows with the text's length. Each has one @ and begins where the run of its
+    characters before that begins, or where the match before it ends."""
+    done = 0
+    for m in _HOST.finditer(text):
+        at = m.start()
+        low = max(done, text.rfind("@", done, at) + 1)
+        start = low + len(text[low:at].rstrip(_LOCAL))
+        if start < at:
+            done = m.end()
+            yield start, done
+
+
 def detect(text: str) -> list[Span]:
     """Leftmost matches of each kind, those that fail its test dropped; by start, then kind as listed."""
     out: list[tuple[int, int, str, int]] = []
     if "@" in text:
-        out += [(m.start(), 0, "email", m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, "email", b) for a, b in _emails(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, "card", m.end()))
     if "." in text:
-        out += [(m.start(), 1, "ip", m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), 1, "ip", m.end()) for m in _IP_RUN.finditer(text) if all(len(y := x.lstrip("0")) < 4 and int(y or "0") <= 255 for x in m[0].split("."))]
     if "+" in text:
         out += [(m.start(), 3, "phone", m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
@@ -142,14 +162,21 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def _worded(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in sorted([*_SIGNED.finditer(text), *_WORDED.finditer(text)], key=re.Match.start):
-        if edits and m.start() < edits[-1][1] or m.re is _WORDED and m["any"] and _NO_HOST.search(m[0]):
+    """The ats, with what stands before them up to the at before, or the end of the last address, and the host after them."""
+    edits, done, low, back, n = [], 0, 0, text[::-1], len(text)
+    for at in _AT_SIGN.finditer(text):
+        low, before = at.end(), max(low, done)
+        if at.start() < before or not (name := _BEFORE.match(back, n - at.start(), n - before)):
+            continue
+        m = (_WORDED if at["worded"] else _SIGNED).match(text, at.end())
+        if not m or at["worded"] and m["any"] and _NO_HOST.search(m[0]):
             continue
-        for part in _WORDED_PART.finditer(m[0]):
-            if part["dot"] and part[0].strip() == "." and part[0] != "." and EMAIL.fullmatch(m[0], 0, part.start()):
+        start, done = n - name.end(), m.end()
+        whole = text[start:done]
+        for part in _WORDED_PART.finditer(whole):
+            if part["dot"] and part[0].strip() == "." and part[0] != "." and EMAIL.fullmatch(whole, 0, part.start()):
                 break  # the address is whole, and this stop ends the sentence
-            edits.append((m.start() + part.start(), m.start() + part.end(), "@" if part["at"] else "."))
+            edits.append((start + part.start(), start + part.end(), "@" if part["at"] else "."))
     return edits
 
 
@@ -178,12 +205,15 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalise(text)
     if tape is None:
         return base, []
-    more = []
+    starts = [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # how far base spans up to this one go
+    more = {}
     for kind, a, b in detect(tape.text):
         at = (kind, tape.begin[a], max(tape.end[a:b]))
-        if not any(s <= at[1] and at[2] <= e for _, s, e in base) and at not in more:
-            more.append(at)
-    return base, more
+        before = bisect_right(starts, at[1])
+        if not before or reach[before - 1] < at[2]:
+            more[at] = None
+    return base, list(more)
 
 
 def _said(found: list[Span]) -> str:
