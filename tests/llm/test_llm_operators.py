@@ -12,10 +12,11 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import LONG, TEXTS, docs
 
-from vellumframe.llm import bpe, chat, exact_dedup, fingerprints, ids, idstore, packing, pii, quality, queries, simhash, warc
+from vellumframe.llm import bpe, chat, exact_dedup, fingerprints, ids, idstore, packing, pii, quality, queries, simhash, units, warc
 from vellumframe.llm.components import components
 from vellumframe.llm.ordered import lower_neighbours, starts
 from vellumframe.llm.work import new_path
@@ -31,9 +32,7 @@ def rows(df):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def want_ids(text):
@@ -249,26 +248,73 @@ def test_bpe(spark):
     got = rows(bpe.encode_decode(docs(spark), RANKS, public_tokenizers.PATTERN))
     assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want_bpe(t) for _, t in TEXTS)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
-    for t in [*strange_texts(3000), "a" * 5000, "ab" * 3000, "é" * 2000]:
-        assert codec.digests(t) == want_bpe(t), t
-        assert codec.decode(codec.encode(t)) == t.encode()
+    rnd = random.Random(7)
+    texts = [*strange_texts(3000), "a" * 5000, "ab" * 3000, "é" * 2000, *("".join(rnd.choices(RUNS, k=rnd.randrange(14))) for _ in range(4000)), *("".join(rnd.choices("abcdetio", k=rnd.randrange(90))) for _ in range(2000))]
+    for t, found in zip(texts, codec.digests(pa.array(texts)), strict=True):
+        assert found == want_bpe(t), t
+    for t in texts[:500]:
+        assert codec.decode(codec.encode(t)) == t.encode() and codec.encode(t) == reference_bpe().encode_ordinary(t)
+
+
+@pytest.mark.parametrize("size", [4, 8, 32, 64])
+def test_merges_together_are_those_of_one(size):
+    rnd = random.Random(size)
+    ranks = bpe.load_ranks(RANKS)
+    pieces = [bytes(rnd.choices(b" etaoinshr\xc3\xa9", k=rnd.randint(1, size))) for _ in range(800)]
+    pieces = [p for p in pieces if p not in ranks or len(p) == 1]
+    found, counts = bpe.merge_pieces(pieces, size, ranks, bpe.Pairs(ranks))
+    ends = np.cumsum(counts).tolist()
+    assert [found[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [bpe.merge_piece(p, ranks) for p in pieces]
+
+
+def test_bpe_edges(spark):
     assert rows(bpe.encode_decode(docs(spark, []), RANKS, public_tokenizers.PATTERN)) == []
 
 
 def test_bpe_forgets_nothing_that_counts(monkeypatch):
-    monkeypatch.setattr(bpe, "UNITS", 5)
-    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
-    assert all(codec.digests(t) == want_bpe(t) for t in strange_texts(300) + ["the same words and the same words again " * 9])
+    monkeypatch.setattr(units, "UNITS", 5)
+    monkeypatch.setattr(units, "GROUP", 64)
+    texts = strange_texts(300) + ["the same words and the same words again " * 9]
+    assert bpe.Codec(RANKS, public_tokenizers.PATTERN).digests(pa.array(texts)) == [want_bpe(t) for t in texts]
 
 
 # 6 and 10
 
 
+RUNS = [" ", "\n", "\n", "a", "b.", "the", "\0", "\t", "<|", "\u3000", "\x1c"]
+
+
 def test_ids_equal_the_library():
-    encoder = ids.Encoder(JSON)
-    assert ids.PATTERN == public_tokenizers.PATTERN
-    for t in [*strange_texts(3000), LONG]:
-        assert encoder.encode(t) == np.array(want_ids(t)[:-1], "<u4").tobytes(), t
+    rnd = random.Random(6)
+    texts = [*strange_texts(3000), LONG, None, "", "hi <|endoftext|> there", "<|endoftext|><|endoftext|>", *("".join(rnd.choices(RUNS, k=rnd.randrange(14))) for _ in range(6000))]
+    texts += ["".join(chr(c) + rnd.choice(["", "a", " ", "\n", " a"]) for c in range(a, a + 4096) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 4096)]
+    found, offsets = ids.Encoder(JSON).encode_batch(pa.array(texts, pa.string()), 2)
+    assert len(found) == offsets[-1] and offsets[0] == 0
+    for k, t in enumerate(texts):
+        assert found[offsets[k] : offsets[k + 1]].tolist() == want_ids(t), t
+
+
+def test_ids_of_added_tokens():
+    """Names of added tokens are those tokens, as the library reads them by default."""
+    assert ids.Encoder(JSON).encode("hi <|endoftext|> there").tolist() == [5303, 220, 50256, 612]
+
+
+def test_ids_of_another_vocabulary():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), ids.Encoder(path)
+    assert not encoder.by_units
+    for t in strange_texts(200):
+        assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_forget_nothing_that_counts(monkeypatch):
+    monkeypatch.setattr(units, "UNITS", 7)
+    monkeypatch.setattr(units, "GROUP", 64)
+    texts = strange_texts(500) + ["the same words and the same words again, and  again\n\n\n" * 9]
+    found, offsets = ids.Encoder(JSON).encode_batch(pa.array(texts), 2)
+    assert [found[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [want_ids(t) for t in texts]  # noqa: B905
 
 
 def test_packing_edges(spark):
@@ -343,12 +389,32 @@ def test_idstore_crcs():
     assert got.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in zip(first, [*first[1:], 40], strict=True)]
 
 
-def test_chunks_follow_content():
-    chunker, rng = idstore.Chunker(), np.random.default_rng(1)
-    x = rng.integers(0, 50000, 30000).astype("<u4")
+def test_chunks_follow_content(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50000, 300000).astype("<u4")
     y = np.concatenate([rng.integers(0, 50000, 777).astype("<u4"), x])
-    cut = lambda v: {v[a:b].tobytes() for a, b in zip([0, *chunker.ends(v)[:-1]], chunker.ends(v), strict=True)}
-    assert chunker.ends(x)[-1] == len(x) and len(cut(x) & cut(y)) >= 0.9 * len(cut(x))
+    ends = lambda v: idstore.chunk_ends(v, np.array([len(v)])).tolist()
+    cut = lambda v: {v[a:b].tobytes() for a, b in zip([0, *ends(v)[:-1]], ends(v), strict=True)}
+    assert ends(x)[-1] == len(x) and len(cut(x) & cut(y)) >= 0.9 * len(cut(x))
+    # Documents side by side have the chunks that each has alone, and no chunk is too long.
+    places = np.sort(rng.choice(np.arange(1, len(x)), 500, replace=False))
+    both = [a + e for a, b in zip([0, *places], [*places, len(x)], strict=True) for e in ends(x[a:b])]
+    assert idstore.chunk_ends(x, np.append(places, len(x))).tolist() == both
+    monkeypatch.setattr(idstore, "MOST", 100)
+    assert np.diff(idstore.chunk_ends(x, np.append(places, len(x))), prepend=0).max() == 100
+
+
+@pytest.mark.parametrize("harm", ["missing", "repeated", "changed"])
+def test_manifest_finds_damage(spark, harm):
+    path = new_path(spark, "test-store")
+    idstore.write(docs(spark), JSON, path)
+    idstore.verify(spark, path)
+    found = spark.read.parquet(f"{path}/recipes")
+    kept = [r for r in found.collect() if r["id"] != 9] if harm == "missing" else [r for r in found.collect() for _ in range(1 + (r["id"] == 9))] if harm == "repeated" else [r if r["id"] != 9 else [*r[:-1], bytearray(32)] for r in found.collect()]
+    spark.createDataFrame(kept, found.schema).write.mode("overwrite").parquet(f"{path}/recipes-new")
+    spark.read.parquet(f"{path}/recipes-new").write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        idstore.read_facts(spark, path)
 
 
 # 7
