@@ -170,11 +170,11 @@ class Codec(Remembered):
         self.said_of = {v: b" %d" % v for v in self.bytes_of}
         self.pattern = regex.compile(pattern)
         self.pairs = Pairs(self.ranks)
-        self.forget()
-
-    def forget(self) -> None:
         self.said, self.decoded = [], []
 
+    def keep(self, slots: np.ndarray) -> None:
+        self.said, self.decoded = ([x[i] for i in slots.tolist()] for x in (self.said, self.decoded))
+
     def _merged(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         get = self.ranks.get
         made = {p: [rank] for p in pieces if (rank := get(p)) is not None}

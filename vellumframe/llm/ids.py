@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from vellumframe.llm.units import Remembered, spread
 
-#: Units that go to the library as one text, and marks that are cut off them.
-LINE, MARKS = 100, ".,;:!?"
+#: Units that go to the library as one text.
+LINE = 100
 
 
 class Encoder(Remembered):
@@ -37,43 +37,39 @@ class Encoder(Remembered):
         self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
         kind = file.get("pre_tokenizer") or {}
         self.line_end = self._of(["\n"])[0]
-        self.marks = {x: int(found[0]) for x, found in zip(MARKS, self._of(list(MARKS)), strict=True) if len(found) == 1}
         # Only for such a file are units what units.py says, and a line end one id that no other token holds.
         self.by_units = (
             kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and file.get("normalizer") is None and file.get("truncation") is None
             and file.get("padding") is None and file["model"].get("type") == "BPE" and not file["model"].get("dropout") and len(self.line_end) == 1 and not any("\n" in x for x in self.names)
         )
-        self.forget()
+        self.ids, self.begin, self.length = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """The library's results also hold tokens and offsets, so only a few are held at a time."""
+        return [np.array(x.ids, "<u4") for at in range(0, len(texts), 64) for x in self.library.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
 
-    def forget(self) -> None:
-        self.ids, self.begin, self.length = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+    def keep(self, slots: np.ndarray) -> None:
+        self.length, begin = self.length[slots], self.begin[slots]
+        self.ids = self.ids[spread(begin, self.length)]
+        self.begin = np.cumsum(self.length) - self.length
 
     def add(self, units: list[str]) -> None:
-        # A line end beside white space would join its run. A mark after a letter is a match of its own, and is put back after
-        # the word. Words in order have beginnings in common, which keeps the library's tables near.
+        # A line end beside white space would join its run. Words in order have beginnings in common, which keeps the library's
+        # tables near.
         plain = [x != "" and "\n" not in x and not x[-1].isspace() and not x[x[0] == " "].isspace() for x in units]
-        words = [x for x, p in zip(units, plain, strict=True) if p]
-        marks = [self.marks.get(x[-1], -1) if "a" <= x[-2:-1] <= "ɏ" and x[-2].isalpha() else -1 for x in words]
-        heads = [x if m < 0 else x[:-1] for x, m in zip(words, marks, strict=True)]
-        asked = sorted(set(heads))
-        stream = np.concatenate([np.empty(0, "<u4"), *[np.append(x, self.line_end) for x in self._of(["\n".join(asked[at : at + LINE]) for at in range(0, len(asked), LINE)])]])
+        alone = self._of([x for x, p in zip(units, plain, strict=True) if not p])
+        plain = np.array(plain, bool)
+        order = sorted(np.flatnonzero(plain).tolist(), key=units.__getitem__)
+        words = [units[i] for i in order]
+        stream = np.concatenate([np.empty(0, "<u4"), *[np.append(x, self.line_end) for x in self._of(["\n".join(words[at : at + LINE]) for at in range(0, len(words), LINE)])]])
         ends = np.flatnonzero(stream == self.line_end[0])
-        if len(ends) != len(asked):
+        if len(ends) != len(words):
             raise ValueError("the vocabulary has other line ends than one id for each")
-        number = dict(zip(asked, range(len(asked)), strict=True))
-        of = np.fromiter(map(number.__getitem__, heads), np.int64, len(heads))
-        alone = self._of([x for x, p in zip(units, plain, strict=True) if not p])
-        marks, plain, starts = np.array(marks, np.int64), np.array(plain, bool), np.append(0, ends + 1)
-        length = np.empty(len(units), np.int64)
-        length[plain], length[~plain] = np.diff(starts)[of] - 1 + (marks >= 0), [len(x) for x in alone]
-        begin = np.cumsum(length) - length
-        data = np.empty(int(length.sum()), "<u4")
-        data[spread(begin[plain], length[plain] - (marks >= 0))] = stream[spread(starts[of], length[plain] - (marks >= 0))]
-        data[(begin + length)[plain][marks >= 0] - 1] = marks[marks >= 0]
-        data[spread(begin[~plain], length[~plain])] = np.concatenate([np.empty(0, "<u4"), *alone])
+        starts, alone_length = np.append(0, ends + 1), np.array([len(x) for x in alone], np.int64)
+        begin, length = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        begin[order], length[order] = starts[:-1], np.diff(starts) - 1
+        begin[~plain], length[~plain] = len(stream) + np.cumsum(alone_length) - alone_length, alone_length
+        data = np.concatenate([stream, *alone])
         self.begin, self.length = np.append(self.begin, begin + len(self.ids)), np.append(self.length, length)
         self.ids = np.append(self.ids, data)
 

@@ -150,7 +150,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
                 )
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by is_chunk and digest: of equal chunks the first stays."""
+        """Rows sorted by digest: of equal chunks the first stays. Keys by chance are shorter than digests of chunks."""
         last = pa.nulls(1, pa.binary())
         for batch in batches:
             digests = batch.column(1)
@@ -159,8 +159,8 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
             last = digests[-1:] if len(digests) else last
 
     schema = f"is_chunk boolean, digest binary, payload binary, width int, id {kind}, recipe array<binary>, lengths array<int>"
-    rows = df.select(id_col, text_col).mapInArrow(encode, schema).repartition("digest").sortWithinPartitions("is_chunk", "digest").mapInArrow(unique, schema)
-    rows.write.option("compression", "lz4").parquet(f"{path}/packs")
+    rows = df.select(id_col, text_col).mapInArrow(encode, schema).repartition("digest").sortWithinPartitions("digest").mapInArrow(unique, schema)
+    rows.write.parquet(f"{path}/packs")
 
     found = spark.read.schema(rows.schema).parquet(f"{path}/packs")
     sizes = found.where("not is_chunk").select("id", "recipe", "lengths", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))

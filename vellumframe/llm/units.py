@@ -3,13 +3,15 @@
 The split pattern of these vocabularies ends a match before a space that something else than white space follows, and takes
 a run of white space up to its last character when something follows it. So no match reaches over a cut at the beginning of
 a white-space run, nor over one before its last character, and each part, taken alone, has the matches that it has in its
-text. Texts are cut by Arrow before every space and line feed; where that would cut a run elsewhere, by a pattern instead.
+text. Texts are cut by Arrow before every space and line feed; where that would cut a run elsewhere, by a pattern instead. A
+single mark between a letter or digit and white space is a match of its own, and is cut off the word before it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ WHITE = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _POINTS)
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 _EDGE = re.compile(f" (?=[^{WHITE}])")
 _WHITE2 = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _POINTS) + "]"
-#: A cut inside a run that isn't before its last character; and the mark that begins the first part of a text.
-_ELSEWHERE = f"{_WHITE2}[ \\n](?:{_WHITE2}|\\z)|\\x00"
+#: A cut inside a run that isn't before its last character; and the signs that begin keys, below.
+_ELSEWHERE = f"{_WHITE2}[ \\n](?:{_WHITE2}|\\z)|[\\x00\\x01]"
+_MARK = "([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])( |\\z)"
 #: Bytes of text whose units are held at once; units, and characters of them, that a worker remembers.
 GROUP, UNITS, CHARS = 8 << 20, 600_000, 16 << 20
 
@@ -37,18 +40,18 @@ def slices(text: str) -> Iterator[str]:
 
 
 def _key(unit: str) -> str:
-    """Units as Arrow's cuts give them: without the space at their head, or with a mark if they have none."""
-    return unit[1:] if unit[0] == " " and unit[1:2] not in ("\0", "\n") else unit if unit[0] == "\n" else "\0" + unit
+    """Units as Arrow's cuts give them: without the space at their head, or with a sign if they have none."""
+    return unit[1:] if unit[0] == " " and unit[1:2] not in ("\0", "\1", "\n") else unit if unit[0] == "\n" else "\0" + unit
 
 
 def _unit(key: str) -> str:
-    return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+    return key[1:] if key[:1] in ("\0", "\1") else key if key[:1] == "\n" else " " + key
 
 
 def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different keys of the units, the number of the key of each unit, and where each text's units begin."""
-    marked = pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(texts, "\n", " \n"), "")
-    parts = pc.split_pattern(marked, " ")
+    signed = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARK, "\\1 \1\\2\\3")
+    parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), signed, ""), " ")
     found = parts.flatten().dictionary_encode()
     return found.dictionary.to_pylist(), found.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
 
@@ -73,29 +76,41 @@ class Remembered:
 
     def __init__(self):
         self.slots: dict[str, int] = {}
+        self.used = np.empty(0, np.int64)  # in how many groups of texts a unit was met
         self.held = 0
 
     def add(self, units: list[str]) -> None:
         """Makes and holds what belongs to these units; their slots follow those given before."""
         raise NotImplementedError
 
-    def forget(self) -> None:
-        """Lets go of all that is held. It costs time and changes no result."""
+    def keep(self, slots: np.ndarray) -> None:
+        """Holds on to what belongs to these slots, which get the numbers from 0, and lets go of the rest."""
         raise NotImplementedError
 
+    def _forget(self) -> None:
+        """Units met in one group alone go first; it costs time and changes no result."""
+        least, long = 2, np.fromiter(map(len, self.slots), np.int64, len(self.slots)) > 4 * CHARS // UNITS
+        while (kept := np.flatnonzero((self.used >= least) & ~long)).size > UNITS // 2:
+            least *= 2
+        keys = list(self.slots)
+        keys = [keys[i] for i in kept.tolist()]
+        self.keep(kept)
+        self.slots, self.used, self.held = dict(zip(keys, range(len(keys)), strict=True)), np.ones(len(keys), np.int64), sum(map(len, keys))
+
     def _slots(self, keys: list[str]) -> np.ndarray:
-        get = self.slots.get
-        new = [k for k in keys if get(k) is None]
-        if len(self.slots) + len(new) > UNITS or self.held > CHARS:
-            self.slots, self.held, new = {}, 0, keys
-            get = self.slots.get
-            self.forget()
-        if new:
-            n = len(self.slots)
+        slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(self.slots) + np.count_nonzero(slots < 0) > UNITS or self.held > CHARS:
+            self._forget()
+            slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(at := np.flatnonzero(slots < 0)):
+            new, n = [keys[i] for i in at.tolist()], len(self.slots)
+            slots[at] = np.arange(n, n + len(new))
             self.slots.update(zip(new, range(n, n + len(new)), strict=True))
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
             self.held += sum(map(len, new))
             self.add([_unit(k) for k in new])
-        return np.fromiter(map(get, keys), np.int64, len(keys))
+        self.used[slots] += 1
+        return slots
 
     def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, the slots of their units, where each row's begin) for texts without nulls. A row may come in several
