@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumframe.operators.ordered import running_before
+from vellumframe.operators.ordered import bucket, cuts, same_bucket
 
 
 def weighted_mode(df: DataFrame, keys: list[str], value: str, weight, order) -> DataFrame:
@@ -35,15 +35,19 @@ def top_counts(df: DataFrame, keys: list[str], value: str, k: int, order) -> Dat
 def at_index(df: DataFrame, keys: list[str], value: str, index, name: str) -> DataFrame:
     """The value at a 0-based index of the sorted values of each group; index: a function of their number. Nulls don't count.
 
-    Values are counted first and taken by running sums of counts over buckets of values.
+    Values are counted first. Sums of buckets of values tell in which bucket of a group the index lies; only that bucket's
+    values are put in order.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*[F.col(k).alias(f"_{k}") for k in keys], index(F.col("_total")).cast("long").alias("at"))
-    placed = running_before(counted.withColumn("_order", F.floor(F.col(value)).cast("long")), keys, "_order", "_n", "_before", "sum", (value,))
-    on = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return placed.join(totals, on).select(*keys, F.col(value).alias(name), "at")
+    here = df.where(F.col(value).isNotNull())
+    bounds = cuts(here.select(F.floor(F.col(value)).cast("long").alias("_order")), "_order")
+    counted = here.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", bucket(F.floor(F.col(value)), bounds))
+    group = Window.partitionBy(*keys)
+    sums = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_of_n"))
+    sums = sums.withColumn("_base", F.sum("_of_n").over(group.orderBy("_bucket")) - F.col("_of_n")).withColumn("at", index(F.sum("_of_n").over(group)).cast("long"))
+    found = sums.where("at >= _base and at < _base + _of_n").select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bucket").alias("_of_bucket"), "_base", "at")
+    near = counted.join(found, same_bucket(keys))
+    before = near.withColumn("_before", F.col("_base") + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value)) - F.col("_n"))
+    return before.where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))).select(*keys, F.col(value).alias(name), "at")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -1,43 +1,64 @@
 """Ordered computations that hold at scale: a key may own a third of all rows, and no window sees them all at once.
 
-Orders are longs. A window covers a bucket of the order, and what lies before the bucket comes from sums of buckets, taken
-in the same way one level up.
+Orders are longs. They are dealt to buckets of about equal numbers of rows, by quantiles of the whole table. A window covers
+a bucket of a key; what lies before the bucket comes from sums of buckets, of which a key has BUCKETS at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of an order that one window covers on the rows, and on the sums above them.
-FIRST, NEXT = 10, 16
+#: Buckets of an order, in rows of WIDE.
+WIDE = 32
+BUCKETS = WIDE * WIDE
+_LAST = (1 << 63) - 1
 
 
-def running_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, how: str = "sum", ties: tuple[str, ...] = (), shift: int = FIRST) -> DataFrame:
+def cuts(df: DataFrame, order: str) -> list[int]:
+    """BUCKETS ascending upper bounds of buckets of an order. One scan of its column; what comes back has a fixed size."""
+    found = df.agg(F.percentile_approx(F.col(order).cast("long"), [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0] or []
+    return [*sorted(found), *[_LAST] * (BUCKETS - len(found))]
+
+
+def bucket(order: Column, bounds: list[int]) -> Column:
+    """How many bounds are smaller than an order: first among the last of each row of bounds, then in its row. Null orders are
+    in the first bucket."""
+    rows = [bounds[i : i + WIDE] for i in range(0, BUCKETS, WIDE)]
+    at = order.cast("long")
+    below = lambda values: F.coalesce(F.array_position(F.sort_array(F.array_append(values, at)), at) - 1, F.lit(0)).cast("int")
+    row = below(F.lit([r[-1] for r in rows]))
+    return row * WIDE + below(F.get(F.array(*[F.lit(r) for r in rows]), row))
+
+
+def same_bucket(keys: list[str]) -> Column:
+    """Joins rows with what is known of their bucket, whose columns begin with _of_."""
+    on = F.col("_bucket") == F.col("_of_bucket")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return on
+
+
+def running_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, how: str = "sum", ties: tuple[str, ...] = (), like: DataFrame | None = None) -> DataFrame:
     """df with `name`, over the rows of the same keys that come before by order (a long) and ties: the sum of value, its
     maximum, or the last one. Without such rows 0 for the sum, else null; value holds no nulls. Rows alike in order and
-    ties come in any order."""
-    before = lambda *by: Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    ties come in any order. like: a cheaper table whose column `order` is distributed as that of df."""
     over = {"sum": F.sum, "max": F.max, "last": F.last}[how](value)
     first = F.lit(0) if how == "sum" else F.lit(None)
-    if shift > 64:
-        return df.withColumn(name, F.coalesce(over.over(before(*keys)), first))
-    b, all_, base, own = (f"_{x}{shift}" for x in ("bucket", "all", "base", "own"))
-    rows = df.withColumn(b, F.shiftright(order, FIRST if shift == FIRST else NEXT))
+    rows = df.withColumn("_bucket", bucket(F.col(order), cuts(df if like is None else like, order)))
     whole = F.max_by(value, F.struct(order, *ties)) if how == "last" else over
-    sums = rows.groupBy(*keys, b).agg(whole.alias(all_))
-    above = running_before(sums, keys, b, all_, base, how, (), shift + NEXT).select(*[F.col(k).alias(f"{k}_{shift}") for k in keys], F.col(b).alias(f"{b}_of"), base)
-    placed = rows.withColumn(own, F.coalesce(over.over(before(*keys, b)), first))
-    on = F.col(b).eqNullSafe(F.col(f"{b}_of"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_{shift}"))
-    both = {"sum": F.col(own) + F.col(base), "max": F.greatest(own, base), "last": F.coalesce(own, base)}[how]
-    return placed.join(above, on).withColumn(name, both).drop(b, f"{b}_of", own, base, *[f"{k}_{shift}" for k in keys])
+    sums = rows.groupBy(*keys, "_bucket").agg(whole.alias("_all"))
+    base = {"sum": F.sum, "max": F.max, "last": F.last}[how]("_all").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    above = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bucket").alias("_of_bucket"), F.coalesce(base, first).alias("_base"))
+    own = over.over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_own", F.coalesce(own, first)).join(above, same_bucket(keys))
+    both = {"sum": F.col("_own") + F.col("_base"), "max": F.greatest("_own", "_base"), "last": F.coalesce("_own", "_base")}[how]
+    return placed.withColumn(name, both).drop("_bucket", "_of_bucket", "_own", "_base", *[f"_of_{k}" for k in keys])
 
 
-def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, like: DataFrame | None = None) -> DataFrame:
     """df with `name`: the sum of value over rows of the same keys with a smaller order. Rows of one order: any order."""
-    return running_before(df, keys, order, value, name)
+    return running_before(df, keys, order, value, name, like=like)
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
@@ -45,12 +66,13 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
     return sums_before(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", name).drop("_one")
 
 
-def counts_near(df: DataFrame, keys: list[str], at: str, radius: int, name: str, block: int = 4096) -> DataFrame:
-    """One row for each of keys and `at`: n rows there, and `name` rows with `at` at most radius away, these included.
+def counts_near(df: DataFrame, keys: list[str], at: str, radius: int, name: str, block: int = 4096, also: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for each of keys and `at`: n rows there, `name` rows with `at` at most radius away, these included, and further
+    aggregates of the rows there.
 
     Rows are counted first. A window covers a block of positions, and positions near a block's end count in both blocks.
     """
-    counted = df.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"), *also)
     home = F.floor(F.col(at) / block)
     blocks = F.sequence(F.floor((F.col(at) - radius) / block), F.floor((F.col(at) + radius) / block))
     spread = counted.withColumn("_home", home).withColumn("_block", F.explode(blocks))

@@ -5,17 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumframe.shared import written
 
-def subtree_sums(df: DataFrame, node: str, parent: str, value: str, levels: int) -> DataFrame:
-    """node, below, total: descendants and the sum of value over a node and them, for a tree of known depth. One aggregate
-    per level, from the leaves up, so an edge is moved once a level."""
-    n, p = F.col(node), F.col(parent)
-    base = df.select(n.alias("node"), p.alias("parent"), F.lit(0).cast("long").alias("below"), F.col(value).alias("total"))
-    own = df.select(n.alias("node"), p.alias("parent"), F.lit(0).cast("long").alias("below"), F.col(value).alias("total"))
-    for _ in range(levels):
+
+def subtree_sums(df: DataFrame, node: str, parent: str, value: str, levels: int | None = None) -> DataFrame:
+    """node, below, total: descendants and the sum of value over a node and them. One aggregate per level, from the leaves up,
+    so an edge is moved once a level. levels: the depth below the root, if known; else rounds go on, each written, until no
+    node gets more descendants. A tree that is deeper than said stops the job, and so does a cycle after as many rounds as
+    there are nodes."""
+    own = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.lit(0).cast("long").alias("below"), F.col(value).cast("double").alias("total"))
+
+    def raised(base: DataFrame) -> DataFrame:
         up = base.where("parent is not null").groupBy("parent").agg(F.sum(F.col("below") + 1).alias("_below"), F.sum("total").alias("_total")).withColumnRenamed("parent", "_of")
-        base = own.join(up, F.col("node") == F.col("_of"), "left").select("node", "parent", F.coalesce("_below", F.lit(0).cast("long")).alias("below"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-    return base.select("node", "below", "total")
+        return own.join(up, F.col("node") == F.col("_of"), "left").select("node", "parent", F.coalesce("_below", F.lit(0).cast("long")).alias("below"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
+
+    base = own
+    if levels is not None:
+        for _ in range(levels):
+            base = raised(base)
+        after = raised(base).select(F.col("node").alias("_node"), F.col("below").alias("_after"))
+        deeper = F.raise_error(F.lit(f"the tree has more than {levels} levels below its root")).cast("long")
+        return base.join(after, F.col("node") == F.col("_node")).select("node", F.when(F.col("below") == F.col("_after"), F.col("below")).otherwise(deeper).alias("below"), "total")
+    before, most = -1, None
+    while True:
+        base = written(raised(base), "subtrees")
+        seen = base.agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n")).first()
+        if (seen["below"] or 0) == before or not seen["n"]:
+            return base.select("node", "below", "total")
+        before, most = seen["below"], seen["n"] if most is None else most - 1
+        if most < 0:
+            raise ValueError("the edges have a cycle")
 
 
 def within(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
 from vellumframe.operators import bags, islands, links, modes, ordered
+from vellumframe.shared import written
 from vellumframe.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,8 +62,9 @@ def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ordered.numbered(table(spark, sf_dir, "documents", "doc_id", "source"), ["source"], "doc_id", "page").select(F.col("doc_id").alias("_doc"), "page")
     own = lines(spark, sf_dir).where(F.trim("line") != "").select("doc_id", "source", "line_no", T.norm_repeat(F.col("line")).alias("norm")).where(F.length("norm") < 160)
     placed = own.join(pages, F.col("doc_id") == F.col("_doc")).select("source", "page", "line_no", "norm")
-    near = ordered.counts_near(placed, ["source", "norm"], "page", 12, "near").where("near >= 3").select(F.col("source").alias("_s"), F.col("page").alias("_p"), F.col("norm").alias("_n"), "near")
-    return placed.join(near, (F.col("source") == F.col("_s")) & (F.col("page") == F.col("_p")) & (F.col("norm") == F.col("_n"))).select("source", "page", "line_no", "norm", F.col("near").cast("long").alias("near"))
+    # The lines of one page that are alike travel with their count, so that heads need no join back.
+    near = ordered.counts_near(placed, ["source", "norm"], "page", 12, "near", also=(F.collect_list("line_no").alias("line_nos"),)).where("near >= 3")
+    return near.select("source", "page", F.explode("line_nos").alias("line_no"), "norm", F.col("near").cast("long").alias("near"))
 
 
 @query(f"SELECT line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({SQL_LINES}) WHERE line <> '' GROUP BY line ORDER BY n DESC, line LIMIT 30")
@@ -138,7 +140,7 @@ def _benchmark_words(spark, sf_dir) -> DataFrame:
 """)
 def doc_coverage(spark, sf_dir):
     """Documents in order claim words of the benchmark, each once."""
-    return bags.claimed(_doc_words(spark, sf_dir), _benchmark_words(spark, sf_dir), "doc_id", "word")
+    return bags.claimed(written(_doc_words(spark, sf_dir), "words"), _benchmark_words(spark, sf_dir), "doc_id", "word", like=table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query(f"""
@@ -149,7 +151,7 @@ def doc_coverage(spark, sf_dir):
 """)
 def word_overlap_pr(spark, sf_dir):
     """Word recall and precision of each document against the benchmark."""
-    other = _benchmark_words(spark, sf_dir)
+    other = written(_benchmark_words(spark, sf_dir), "words")
     total = other.agg(F.sum("n").alias("_total"))
     found = bags.overlap(_doc_words(spark, sf_dir), other, ["doc_id"], "word")
     return found.crossJoin(F.broadcast(total)).select("doc_id", "words", F.col("matched").cast("long").alias("matched"), (F.col("matched") / F.col("_total")).alias("recall"), (F.col("matched") / F.col("words")).alias("precision"))
@@ -204,29 +206,20 @@ def attr_inventory(spark, sf_dir):
     return rows.groupBy("attr", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _dom(spark, sf_dir) -> DataFrame:
-    return markup.dom(table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
-
-
 @query()
 def parent_child(spark, sf_dir):
     """Which elements stand in which, and how often. Tag soup has no SQL reading; tests hold it against another parser."""
-    rows = _dom(spark, sf_dir).select("page_id", "pre", "parent", "tag")
-    above = rows.select(F.col("page_id").alias("_page"), F.col("pre").alias("_pre"), F.col("tag").alias("parent_tag"))
-    met = rows.join(above, (F.col("page_id") == F.col("_page")) & (F.col("parent") == F.col("_pre")), "left")
-    return met.groupBy(F.coalesce("parent_tag", F.lit("#root")).alias("parent_tag"), F.col("tag").alias("child_tag")).agg(F.count(F.lit(1)).alias("n"))
+    rows = markup.dom(table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", family=True)
+    return rows.groupBy(F.coalesce("parent_tag", F.lit("#root")).alias("parent_tag"), F.col("tag").alias("child_tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def child_sequences(spark, sf_dir):
     """The eight most frequent sequences of children below each element, equal neighbours taken once, up to twelve."""
-    rows = _dom(spark, sf_dir).select("page_id", "pre", "parent", "pos", "tag")
-    kids = rows.where("parent is not null").groupBy("page_id", "parent").agg(F.sort_array(F.collect_list(F.struct("pos", "tag"))).alias("kids"))
-    tags = F.transform("kids", lambda x: x["tag"])
-    once = F.filter(F.transform(tags, lambda t, i: F.when((i > 0) & (F.get(tags, i - 1) == t), F.lit(None)).otherwise(t)), lambda t: t.isNotNull())
-    sequence = kids.select(F.col("page_id").alias("_page"), F.col("parent").alias("_pre"), F.array_join(F.slice(once, 1, 12), " ").alias("children"))
-    met = rows.join(sequence, (F.col("page_id") == F.col("_page")) & (F.col("pre") == F.col("_pre")))
-    return modes.top_counts(met.withColumn("_order", F.col("page_id") * (1 << 24) + F.col("pre")), ["tag"], "children", 8, F.col("_order"))
+    rows = markup.dom(table(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html", family=True).where(F.size("children") > 0)
+    once = F.filter("children", lambda t, i: (i == 0) | (F.get("children", i - 1) != t))
+    placed = rows.select("tag", F.array_join(F.slice(once, 1, 12), " ").alias("children"), (F.col("page_id") * (1 << 24) + F.col("pre")).alias("_order"))
+    return modes.top_counts(placed, ["tag"], "children", 8, F.col("_order"))
 
 
 @query("""
@@ -377,7 +370,7 @@ def upper_median_gap(spark, sf_dir):
     """The upper median of the gaps between a user's events: the rule of a book's line pitch."""
     rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id").select("user_id", micros("ts").alias("t"), "event_id")
     rows = ordered.running_before(rows, ["user_id"], "t", "t", "prev", "last", ("event_id",))
-    return modes.upper_median(rows.select("user_id", (F.col("t") - F.col("prev")).alias("gap")), ["user_id"], "gap", "gap")
+    return modes.upper_median(written(rows.select("user_id", (F.col("t") - F.col("prev")).alias("gap")), "gaps"), ["user_id"], "gap", "gap")
 
 
 @query("SELECT l_partkey, list_sort(list(l_extendedprice))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS edge, CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) AS at FROM lineitem GROUP BY 1")

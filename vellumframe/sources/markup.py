@@ -100,12 +100,13 @@ def xml_rows(text: str) -> list[dict]:
     return flat.done()
 
 
-def dom(df: DataFrame, id_col: str, text_col: str, kind: str = "html") -> DataFrame:
+def dom(df: DataFrame, id_col: str, text_col: str, kind: str = "html", family: bool = False) -> DataFrame:
     """id and one row per element. Null and empty texts have none; XML that isn't well formed gives one row with tag
-    '#error' and the message as text. No shuffle; a task holds one document's elements at a time."""
+    '#error' and the message as text. family: also the parent's tag, null for a root, and the tags of the children in order, as the parser
+    knows both. No shuffle; a task holds one document's elements at a time."""
     read, id_type = (html_rows if kind == "html" else xml_rows), df.select(id_col).schema[0].dataType.simpleString()
-    names = ["pre", "last", "parent", "depth", "pos", "tag", "attrs", "text", "tail"]
-    types = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
+    names = ["pre", "last", "parent", "depth", "pos", "tag", "attrs", "text", "tail"] + ["parent_tag", "children"] * family
+    types = [pa.int32()] * 5 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()] + [pa.string(), pa.list_(pa.string())] * family
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +115,15 @@ def dom(df: DataFrame, id_col: str, text_col: str, kind: str = "html") -> DataFr
                     rows = read(text) if text else []
                 except Exception as e:  # the text, not the job, is at fault
                     rows = [{"pre": 0, "last": 0, "parent": None, "depth": 0, "pos": 0, "tag": "#error", "attrs": {}, "text": str(e), "tail": ""}]
+                if family:
+                    for r in rows:
+                        r["children"], r["parent_tag"] = [], None
+                    for r in rows:
+                        if r["parent"] is not None:
+                            r["parent_tag"] = rows[r["parent"]]["tag"]
+                            rows[r["parent"]]["children"].append(r["tag"])
                 if rows:
                     cols = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows))), *cols], [id_col, *names])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {DOM}")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {DOM}" + ", parent_tag string, children array<string>" * family)
