@@ -28,9 +28,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id; documents without an id stay."""
-    groups = simhash.near_groups(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """Of each group of near copies, five words' shingles alike by 0.8 or more, the document with the smallest id; documents
+    without an id stay."""
+    groups = simhash.near_copies(docs)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

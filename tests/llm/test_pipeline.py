@@ -8,7 +8,8 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from vellumframe.llm import packing, pii, quality, simhash
+from test_near_recall import shingles_of
+from vellumframe.llm import packing, pii, quality
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -30,8 +31,10 @@ def test_stages_against_brute_force(spark, sf):
 
     third = stages["simhash near-dedup"](spark, second, sf)
     ids = sorted(seen.values())
-    fp = np.array([simhash.fingerprint(text[i]) for i in ids], np.uint64)
-    link, least = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, np.array(ids)
+    sets = [shingles_of(text[i]) for i in ids]
+    both = np.array([[len(a & b) for b in sets] for a in sets])
+    size = np.array([len(a) for a in sets])
+    link, least = both >= 0.8 * (size[:, None] + size[None, :] - both), np.array(ids)
     while not (now := np.array([least[row].min() for row in link])).tolist() == least.tolist():
         least = now
     stay = {i for i, x in zip(ids, least.tolist(), strict=True) if i == x}
@@ -60,7 +63,8 @@ def test_planted_copies(spark, sf):
     exact = stages["exact dedup"](spark, docs.select(*corpus_pipeline.COLUMNS).union(more), sf)
     assert {r["doc_id"] for r in exact.collect()} & {1000, 1001} == set()
     near = {r["doc_id"] for r in stages["simhash near-dedup"](spark, exact, sf).collect()}
-    linked = {i for i, t in planted if bin(simhash.fingerprint(t) ^ simhash.fingerprint(text[base])).count("1") <= 3}
+    first = shingles_of(text[base])
+    linked = {i for i, t in planted if len(first & shingles_of(t)) >= 0.8 * len(first | shingles_of(t))}
     assert len(linked) >= 4 and not near & linked and base in near
 
 

@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumframe.llm.components import components
@@ -22,27 +22,35 @@ RUN = 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash, unsigned. A-Z become lower case; a text of fewer words is one shingle, one of none gives 0."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, unsigned. A-Z become lower case; a text of fewer words is one shingle, one of
+    none has no shingle."""
     found = (text or "").encode().translate(_LOWER).split()
     n = len(found) - words + 1
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     if n <= 1:
         shingles = [b" ".join(found)]
     else:
         line = b" ".join(found)
         gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         shingles = [line[a:b] for a, b in zip([0, *(gaps + 1).tolist()], [*gaps[words - 1 :].tolist(), len(line)], strict=False)]
-    count, total = np.zeros(64, np.int64), len(shingles)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+
+
+def _simhash(hashes: np.ndarray) -> int:
+    count, total = np.zeros(64, np.int64), len(hashes)
     for k in range(0, total, 16384):
-        part = shingles[k : k + 16384]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), "<u8", len(part))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[k : k + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         count += np.add.reduce(bits, axis=0, dtype=np.uint16)
     return int(np.packbits(2 * count > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit SimHash, unsigned; that of a text without words is 0."""
+    return _simhash(shingle_hashes(text, words))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The id and fp, the fingerprint as a signed long. No shuffle."""
 
@@ -238,3 +246,115 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     of = rooted.join(best, "root").select("fp", "component_id")
     ids = cut(nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "members")
     return rows.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by the share of their shingles. Texts alike by 0.8 differ in about 10 of 64 bits, which no covering of use
+# reaches: the anchors for each fingerprint would be thousands. So fingerprints at THRESHOLD bits give the first candidates,
+# and bands of least hashes the rest; of all candidates the exact share is counted.
+
+#: A stage's near copies: sets of so many words' shingles that are alike, in common over either, by LEAST or more.
+WORDS, LEAST = 5, 0.8
+#: Two texts alike by x agree in one of BANDS groups of ROWS least hashes with 1 - (1 - x**ROWS)**BANDS: 0.99999 at 0.8.
+BANDS, ROWS = 30, 5
+_MIX = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles. That of a text without words has the one member 0, so that such are alike."""
+    return np.unique(found) if len(found := shingle_hashes(text, words)) else np.zeros(1, "<u8")
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """The keys of a set: for each band the mixed least hashes under its permutations."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(members), 512):
+            least = np.minimum(least, (members[k : k + 512, None] * _MIX[0]).min(axis=0))
+        mixed = (least ^ (least >> np.uint64(29))) * _MIX[1]
+    return np.add.reduce(mixed.reshape(BANDS, ROWS), axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """id, fp and the keys of each text of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = np.empty(batch.num_rows, np.uint64), np.empty((batch.num_rows, BANDS), np.int64)
+            for i, text in enumerate(batch.column(1)):
+                found = shingle_hashes(text.as_py(), words)
+                fps[i], keys[i] = _simhash(found), bands(np.unique(found) if len(found) else np.zeros(1, "<u8"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), lists], ["id", "fp", "keys"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, fp long, keys array<long>")
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """id, band, key, pair and degree, for keys that several ids have: pair is the key together with the next band's, degree
+    the members of all the groups that an id is in."""
+    both = F.transform("keys", lambda key, i: F.struct(key.alias("key"), F.xxhash64(key, F.get("keys", (i + 1) % BANDS)).alias("pair")))
+    rows = signed.select("id", F.posexplode(both).alias("band", "x")).select("id", "band", "x.key", "x.pair")
+    groups = cut(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("_band"), F.col("key").alias("_key"), "n"), "groups")
+    members = cut(rows.join(groups.hint("merge"), (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("id", "band", "key", "pair", "n"), "members")
+    degrees = members.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("degree"))
+    return cut(members.join(degrees, F.col("id") == F.col("_id")).select("id", "band", "key", "pair", "degree"), "members")
+
+
+def _stars(members: DataFrame, of: str, by: Column) -> DataFrame:
+    """Candidates (a, b): each id of a group (a band and its key or pair) with that one of them which comes first by `by`; so
+    a group gives no more candidates than members."""
+    centres = members.groupBy("band", of).agg(F.min_by("id", F.struct(by.alias("by"), F.col("id"))).alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    centres = centres.select(F.col("band").alias("_band"), F.col(of).alias("_of"), "a")
+    return members.join(centres, (F.col("band") == F.col("_band")) & (F.col(of) == F.col("_of"))).where("a <> id").select("a", F.col("id").alias("b"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id and members, the set of shingles, of the wanted ids (_id). The one exchange of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "members"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    # Of rows that repeat an id, that with the longest text counts.
+    texts = docs.join(wanted.distinct().hint("merge"), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    return cut(texts.mapInArrow(run, f"id {kind}, members array<long>"), "sets")
+
+
+def _alike(sets: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """The candidates (a, b), each once, whose sets are alike by `least` or more."""
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (sets.select(F.col("id").alias(f"_{c}"), F.col("members").alias(f"_set_{c}")) for c in "ab")
+    met = pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b"))
+    both, total = F.size(F.array_intersect("_set_a", "_set_b")), F.size("_set_a") + F.size("_set_b")
+    return cut(met.where(both >= F.lit(least) * (total - both) - 1e-9).select("a", "b"), "links")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """id and component_id, the smallest id that links reach, for each id that has a link: texts whose sets of shingles are
+    alike by `least` or more.
+
+    Candidates are those whose SimHash fingerprints differ by THRESHOLD bits or fewer, and those that agree in a band. Rows
+    without an id take no part; null and empty texts and those of white space are alike. Of rows that repeat an id, the
+    longest text counts. Other columns aren't read. An empty table gives no rows.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    signed = cut(_signed(docs, words), "signed")
+    nodes = cut(signed.groupBy("fp").agg(F.min("id").alias("a")), "nodes")
+    equal = signed.select("id", F.col("fp").alias("_fp")).join(nodes, F.col("fp") == F.col("_fp")).where("a <> id").select("a", F.col("id").alias("b"))
+    close = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("a").alias("id_a")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("a").alias("id_b")), "b").select("id_a", "id_b")
+    # A text of which many copies were changed has links that the copies haven't among them: as the one with the most
+    # neighbours it is the centre of its groups. Then other centres, by chance, for what isn't joined yet.
+    members = _members(signed)
+    most, chance = -F.col("degree"), F.xxhash64("id", "band")
+    first = cut(equal.union(close).union(_stars(members, "key", most)), "candidates")
+    sets = _sets(docs, members.select(F.col("id").alias("_id")).union(first.select("a")).union(first.select("b")), words)
+    found = _alike(sets, first, least)
+    roots = cut(components(found), "roots")
+    of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"root_{c}"))
+    rest = _stars(members, "key", chance).union(_stars(members, "pair", most)).union(_stars(members, "pair", chance)).distinct()
+    rest = rest.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    apart = rest.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
+    return components(found.union(_alike(sets, apart, least))).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
