@@ -84,6 +84,47 @@ def test_quality_edges(spark, sf):
     assert rows(quality.classify(docs(spark, []), labels)) == []
 
 
+def test_quality_votes_against_brute_force(spark, sf):
+    """Latent vectors, cosines and votes written out: singular vectors of the sample, each document against each vector."""
+    docs_, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    text = {r["doc_id"]: r["text"] for r in rows(docs_)}
+    known = {r["doc_id"]: r["quality"] for r in rows(labels) if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in text}
+
+    def vector(t):
+        data, out = f" {t} ".encode(), [0.0] * quality.WIDTH
+        for a, b in zip(data, data[1:]):  # noqa: B905
+            out[((a << 8 | b) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - quality.PAIR_BITS)] += 1 / len(data)
+        out = [x**0.5 for x in out]
+        words = t.split()
+        if len(words) > 1:
+            out[-2] = 0.7 * (sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1)) ** 0.5  # noqa: B905
+            out[-1] = 0.7 * (1 - len(set(words)) / len(words)) ** 0.5
+        return np.array(out)
+
+    sample = sorted(known)
+    x = np.array([vector(text[i]) for i in sample])
+    mean = x.mean(axis=0)
+    _, values, axes = np.linalg.svd(x - mean, full_matrices=False)
+    k = min(quality.DIMENSIONS, len(sample))
+    scaled = axes[:k].T / np.sqrt(np.maximum(values[:k], 1e-4))
+    latent = lambda v: (z := (v - mean) @ scaled) / max(np.linalg.norm(z), 1e-9)
+    near = np.array([latent(v) for v in x])
+    y = np.array([known[i] for i in sample])
+    got = {r["doc_id"]: r["score"] for r in rows(quality.classify(docs_, labels))}
+    for i, t in text.items():
+        cosines = near @ latent(vector(t))
+        best = np.argsort(-cosines)[: quality.NEIGHBOURS]
+        weight = np.maximum(cosines[best], 0) ** quality.POWER
+        assert got[i] == pytest.approx((weight * y[best]).sum() / weight.sum(), abs=2e-3), i
+
+
+def test_quality_sample_is_bounded(spark):
+    """Documents that repeat an id are learned once."""
+    many = spark.createDataFrame([(i % 10, "x" * (i % 40)) for i in range(400)], "doc_id long, text string")
+    model = quality.fit(many, spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int"))
+    assert len(model.labels) <= 10
+
+
 def test_quality_held_out_accuracy(spark):
     """Labels of one fold are never learned; there the classifier must tell the classes apart."""
     sf = "/root/testdata/sf0.1"
@@ -436,6 +477,20 @@ def test_warc_edges(spark):
     assert rows(warc.archived(df.limit(0))) == []
 
 
+def test_warc_files_are_bounded_in_bytes(spark, monkeypatch):
+    """Large pages go to files of fewer records, and all are read back."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "PER_FILE", 20)
+    pages = [(i, "u", chr(97 + i % 26) * n) for i, n in enumerate([0, 10, 900, 1100, 1900, 3000, 9000, 9000, 25_000, 60_000, *[700] * 60])]
+    path = new_path(spark, "test-warc")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write(df, path)
+    files = rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).selectExpr("length", "cast(content as string) as c"))
+    assert all(r["length"] < 2 * 20_000 or r["c"].count("WARC/1.1") == 1 for r in files)
+    got = {r["page_id"]: r["payload_bytes"] for r in rows(warc.read(spark, path))}
+    assert got == {i: len(h) for i, _, h in pages}
+
+
 def test_warc_damage():
     with pytest.raises(ValueError):
         list(warc.records(b"no record"))
@@ -493,6 +548,37 @@ def test_chat_layouts(spark):
         chat.turns_of({"nothing": "known"})
 
 
+def test_chat_records_of_odd_kinds(spark):
+    """Nothing that a record holds stops the job: it has turns, none, or an error."""
+    turns = {
+        '{"messages": []}': [], "[]": [], '[{"role": "user", "content": "q"}]': [("user", "q")], '{"prompt": 3, "response": null}': [("user", "3"), ("assistant", "")],
+        '{"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": 5, "score": 2}]}': [("user", "q"), ("assistant", "5")], '{"messages": [{"role": "user", "content": {"b": [1]}}]}': None,
+        '{"messages": [{"role": "user", "content": ["x", "y"]}]}': None, '{"messages": [{"role": null, "content": "q"}]}': None, '{"messages": [3]}': None, "{": None, "7": None, '{"a": {"b": 1}}': None,
+        '{"conv_id": 1, "turn": 0, "role": "user", "text": "t"}': None, "[" * 100000: None, "": [],
+    }
+    df = spark.createDataFrame(list(enumerate(turns)), "conv_id long, line string")
+    found = rows(chat.json_turns(df, "line"))
+    for i, (line, want) in enumerate(turns.items()):
+        own = sorted((r for r in found if r["conv_id"] == i), key=lambda r: r["turn"] or 0)
+        if want is None:
+            assert len(own) == 1 and own[0]["error"] and own[0]["turn"] is None, line
+        else:
+            assert [(r["role"], r["text"]) for r in own] == want and all(r["error"] is None for r in own), line
+    all_turns = chat.json_turns(df, "line")
+    assert {r["conv_id"] for r in rows(chat.rejected(all_turns))} == {i for i, w in enumerate(turns.values()) if w is None}
+    assert {r["conv_id"]: r["n_turns"] for r in rows(chat.read_back(chat.format_conversations(chat.good(all_turns))))} == {i: len(w) for i, w in enumerate(turns.values()) if w}
+
+
+def test_chat_unlike_layouts_read_back(spark):
+    """Records of several layouts become one table of turns, and their texts come back from the formatted output."""
+    lines = ['{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "a"}]}', '{"instruction": "q", "input": "more", "output": "<s>"}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "[/INST]"}]}']
+    df = spark.createDataFrame(list(enumerate(lines)), "conv_id long, line string")
+    got = {r["conv_id"]: r for r in rows(chat.read_back(chat.format_conversations(chat.good(chat.json_turns(df, "line")))))}
+    for i, (user, said) in enumerate([("</s>[INST] ok [/INST]", "a"), ("q\n\nmore", "<s>"), ("q", "[/INST]")]):
+        assert got[i]["turns_sha256"] == hashlib.sha256(f"user\n{user}\nassistant\n{said}\n".encode()).hexdigest()
+        assert got[i]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 # 9
 
 

@@ -112,18 +112,45 @@ def mapping_of(paths) -> tuple:
     raise ValueError(f"no mapping for the layout {sorted(paths)}")
 
 
-def turns_of(value: dict) -> list[tuple[str, str]]:
-    """Canonical (role, text) turns of a JSON record."""
-    kind, *rest = mapping_of(p for p in value_paths(value))
+def _said(value) -> str:
+    """Text as it is, null as nothing, any other JSON value as JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+#: Fields of a turn, and of a record, that no mapping reads; they are left out when a layout has no mapping of its own.
+SPARE = ("name", "score", "id", "weight", "tool_calls", "timestamp", "model")
+
+
+def _layout(value) -> tuple:
+    """The mapping of a JSON record: by all its paths, else without those that end in a spare field."""
+    paths = value_paths(value)
+    try:
+        return mapping_of(paths)
+    except ValueError:
+        return mapping_of(p for p in paths if p.rsplit(".", 1)[-1] not in SPARE)
+
+
+def turns_of(value) -> list[tuple[str, str]]:
+    """Canonical (role, text) turns of a JSON record. A list stands for the messages of a record; a known list without elements
+    has no turns. Raises ValueError for a layout without a mapping and for a turn without a role."""
+    if isinstance(value, list):
+        value = {"messages": value}
+    if not isinstance(value, dict):
+        raise ValueError("not a record")
+    if any(value.get(a[:-2]) == [] for a, _, _ in _LIST):
+        return []
+    kind, *rest = _layout(value)
     if kind == "list":
         array, role, text, *system = rest
-        head = [("system", value[system[0]])] if system and value.get(system[0]) else []
-        return head + [(ROLES.get(x[role], x[role]), x[text] or "") for x in value[array]]
+        if not all(isinstance(x, dict) and isinstance(x.get(role), str) for x in value[array]):
+            raise ValueError("a turn without a role")
+        head = [("system", _said(value[system[0]]))] if system and value.get(system[0]) else []
+        return head + [(ROLES.get(x[role], x[role]), _said(x.get(text))) for x in value[array]]
     if kind == "rows":
         raise ValueError("a single turn isn't a conversation")
     out: list[tuple[str, str]] = []
     for role, path in rest[0]:
-        text = value.get(path) or ""
+        text = _said(value.get(path))
         if out and out[-1][0] == role:
             out[-1] = (role, f"{out[-1][1]}\n\n{text}" if text else out[-1][1])
         elif text or role != "system":
@@ -132,20 +159,35 @@ def turns_of(value: dict) -> list[tuple[str, str]]:
 
 
 def json_turns(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
-    """(id, turn, role, text) of rows whose JSON texts may each have another layout. Null gives no turns."""
+    """(id, turn, role, text, error) of rows whose JSON texts may each have another layout. Null gives no turns. A text that
+    isn't JSON, a layout without a mapping and a turn without a role give one row with the error, whose turn, role and text are
+    null; `good` and `rejected` tell them apart."""
     kind = df.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for turn, (role, said) in enumerate(turns_of(json.loads(text)) if text else []):
-                    own.append(k)
-                    rows.append((turn, role, said))
-            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *cols], [id_col, "turn", "role", "text"])
+                try:
+                    found = [(turn, role, said, None) for turn, (role, said) in enumerate(turns_of(json.loads(text)) if text else [])]
+                except (ValueError, RecursionError) as e:  # the record, not the job, is at fault
+                    found = [(None, None, None, str(e) or type(e).__name__)]
+                own += [k] * len(found)
+                rows += found
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *cols], [id_col, "turn", "role", "text", "error"])
+
+    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {kind}, turn long, role string, text string, error string")
+
+
+def good(turns: DataFrame) -> DataFrame:
+    """The turns of json_turns as format_conversations takes them."""
+    return turns.where("error is null").drop("error")
+
 
-    return df.select(id_col, json_col).mapInArrow(run, f"`{id_col}` {kind}, turn long, role string, text string")
+def rejected(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """id and error of records that json_turns couldn't read."""
+    return turns.where("error is not null").select(id_col, "error")
 
 
 def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -88,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             rows = [features(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["id", "label", "vector"])
 
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
+    # Of documents that repeat an id the longest text counts, so that no more rows than were chosen come back.
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_label").agg(F.max_by("_text", F.struct(F.length("_text"), "_text")).alias("_text"))
     found = sorted(rows.mapInArrow(vectors, "id string, label int, vector binary").collect(), key=lambda r: (r["id"], bytes(r["vector"])))
     y = np.array([r["label"] for r in found], np.float64)
     if not len(found):

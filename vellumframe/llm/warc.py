@@ -15,8 +15,8 @@ from vellumframe.llm.work import cut, new_path
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
-#: Records of an archive file: a file is read by one task.
-PER_FILE = 1000
+#: Records of an archive file, and bytes of payloads in it unless one record has more: a file is read by one task.
+PER_FILE, FILE_BYTES = 1000, 1 << 28
 MAGIC = b"WARC/1.1\r\n"
 _START = re.compile(re.escape(MAGIC))
 _LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+) *\r\n", re.I)
@@ -38,6 +38,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     it; rows that repeat that id and payload are responses too. Null html is the empty payload, a null url no line, a
     null id is named null and revisits as any other. Which payloads repeat is found from digests and lengths; one row
     for each of these is written to a table, and by its size Catalyst either broadcasts it or joins in another way.
+
+    Files hold pages of like size: those of over FILE_BYTES / PER_FILE bytes go to files of fewer records, a write for each
+    doubling of their size, so that no file outgrows FILE_BYTES unless it holds a single record.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha1("html"))
@@ -61,7 +64,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.lit("\r\n"),
         F.col("block"),
     )
-    made.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.col("bytes")) * PER_FILE / FILE_BYTES))).cast("int")
+    sizes = sorted(r["size"] for r in rows.select(doublings.alias("size")).distinct().collect()) or [0]  # 31 at most
+    for size in sizes:
+        part = made.where(doublings == size) if len(sizes) > 1 else made
+        part.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, PER_FILE >> size)).text(path)
 
 
 def chained(starts: np.ndarray, successors: np.ndarray, size: int) -> np.ndarray:
