@@ -212,3 +212,28 @@ def language(text) -> Column:
     found = once(counted, lambda c: F.struct(F.array_max(c).alias("best"), F.aggregate(c, F.lit(0), lambda a, x: a + x["hits"]).alias("total")))
     known = lambda f: (F.length(text) >= 20) & (f["best"]["hits"] >= 3)
     return once(found, lambda f: F.struct(F.when(known(f), f["best"]["lang"]).alias("lang"), F.coalesce(f["best"]["hits"], F.lit(0)).alias("hits"), F.coalesce(f["total"], F.lit(0)).alias("total")))
+
+
+#: The language that a script stands for, and letters that only Vietnamese has.
+SCRIPTS = {"ar": "Arabic", "he": "Hebrew", "hi": "Devanagari", "te": "Telugu", "ta": "Tamil", "kn": "Kannada", "ml": "Malayalam", "bn": "Bengali", "th": "Thai", "ko": "Hangul", "ja": "Hiragana Katakana", "zh": "Han", "ru": "Cyrillic", "el": "Greek"}
+VIETNAMESE = "[ơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
+
+
+def language_sql(text: str) -> str:
+    """SQL of STRUCT<lang, conf> for a text expression: the script of most letters, counted over the whole text, where that isn't
+    Latin; else Vietnamese by its letters; else by stop words. Null below 20 characters, without letters and below 3 stop words."""
+    bind = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    share = lambda part, whole: f"round({part} / {whole}, 2)"
+    of_script = lambda names: "".join(rf"\p{{Is{n}}}" for n in names.split())
+    scripts = ", ".join(f"struct(length(regexp_replace(other, r'[^{of_script(names)}]', '')) AS n, {-i} AS place, '{code}' AS lang)" for i, (code, names) in enumerate(SCRIPTS.items()))
+    stops = ", ".join(f"struct(size(filter(tokens, w -> w IN ({', '.join(repr(w) for w in words.split())}))) AS n, {-i} AS place, '{code}' AS lang)" for i, (code, words) in enumerate(STOP_WORDS.items()))
+    total = lambda counts: f"aggregate({counts}, 0, (sum, c) -> sum + c.n)"
+    found = lambda lang, conf: f"named_struct('lang', {lang}, 'conf', CAST({conf} AS DOUBLE))"
+    latin = "(length(letters) - length(other))"
+    by_stops = bind(f"regexp_extract_all(lower({text}), '[a-záéíóúüñàèìòùâêîôûçäöß]+', 0)", "tokens", bind(f"array({stops})", "counts", f"IF(array_max(counts).n >= 3, {found('array_max(counts).lang', share('array_max(counts).n', total('counts')))}, {found('NULL', '0')})"))
+    by_script = (
+        f"CASE WHEN array_max(scripts).n > {latin} THEN {found('array_max(scripts).lang', share('array_max(scripts).n', f'({latin} + {total("scripts")})'))} "
+        f"WHEN {latin} = 0 THEN {found('NULL', '0')} WHEN rlike({text}, '{VIETNAMESE}') THEN {found("'vi'", '0.8')} ELSE {by_stops} END"
+    )
+    letters = bind(f"regexp_replace({text}, r'\P{{L}}+', '')", "letters", bind(r"regexp_replace(letters, r'\p{IsLatin}+', '')", "other", bind(f"array({scripts})", "scripts", by_script)))
+    return f"(CASE WHEN length({text}) >= 20 THEN {letters} ELSE {found('NULL', '0')} END)"

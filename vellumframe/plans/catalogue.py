@@ -401,15 +401,6 @@ def coverage_gutters(spark, sf_dir):
     return islands.gutters(rows, ["l_suppkey"], "b", "e", 6)
 
 
-@query("""
-    WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
-    SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.k = b.k
-""")
-def isbn_pairing(spark, sf_dir):
-    """Keys of two inventories: on both sides or on one."""
-    return links.pairing(table(spark, sf_dir, "customer", "c_custkey").where("c_custkey % 3 <> 0"), table(spark, sf_dir, "orders", "o_custkey"), "c_custkey", "o_custkey")
-
-
 @query("""
     SELECT doc_id, list_filter([CASE WHEN n_chars < 200 THEN 'too short' END, CASE WHEN l.quality = 0 THEN 'low quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS critical,
            CASE WHEN n_chars < 200 OR coalesce(l.quality = 0, false) OR coalesce(l.toxic = 1, false) THEN 'FAILED' WHEN l.doc_id IS NULL THEN 'PASS WITH WARNINGS' ELSE 'PASS' END AS status
@@ -447,17 +438,6 @@ def dominant_share(spark, sf_dir):
     return modes.shares(table(spark, sf_dir, "part", "p_type", "p_brand"), ["p_type"], "p_brand")
 
 
-@query("""
-    WITH d AS (SELECT o_orderkey AS book, md5(concat(o_orderstatus, o_totalprice > 100000)) AS hash, o_orderstatus AS status FROM orders)
-    SELECT book, hash FROM d WHERE NOT EXISTS (SELECT 1 FROM d s WHERE s.book = d.book AND s.book % 5 <> 0 AND s.status IN ('F', 'O') AND s.hash = d.hash)
-""")
-def batch_pending(spark, sf_dir):
-    """Inputs that no finished run has with the same hash."""
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").select(F.col("o_orderkey").alias("book"), F.md5(F.concat("o_orderstatus", (F.col("o_totalprice") > 100000).cast("string"))).alias("hash"), F.col("o_orderstatus").alias("status"))
-    done = rows.where("book % 5 <> 0 and status in ('F', 'O')").select("book", "hash")
-    return rows.select("book", "hash").join(done, ["book", "hash"], "left_anti")
-
-
 @query("""
     WITH RECURSIVE t AS (
         SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS DOUBLE) AS value FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, CAST(0 AS DOUBLE) FROM nation

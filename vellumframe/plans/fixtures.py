@@ -83,8 +83,8 @@ def index_pages(spark, sf_dir):
 
 @query(f"WITH {_SQL_LANG} SELECT doc_id, CASE WHEN hits >= 3 AND n >= 20 THEN lang END AS lang FROM b")
 def language_parser(spark, sf_dir):
-    """Language by script and stop words, as the parser sees it."""
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", P.language_column(F.col("text")).alias("lang"))
+    """Language by script and stop words."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.expr(T.language_sql("text") + ".lang").alias("lang"))
 
 
 @query(f"""
@@ -99,10 +99,12 @@ def page_coverage(spark, sf_dir):
 
 
 @query("""
-    WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents) GROUP BY 1),
-    p AS (SELECT DISTINCT word AS w, substr(word, 1, length(word) // 2) AS a, substr(word, length(word) // 2 + 1) AS b FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4)
-    SELECT p.w AS word, CASE WHEN coalesce(j.n, 0) > 0 THEN true ELSE NOT (length(a) >= 3 AND length(b) >= 3 AND coalesce(l.n, 0) >= 2 AND coalesce(r.n, 0) >= 2) END AS joined
-    FROM p LEFT JOIN w j ON j.word = p.w LEFT JOIN w l ON l.word = p.a LEFT JOIN w r ON r.word = p.b
+    WITH p AS MATERIALIZED (SELECT DISTINCT word AS w, substr(word, 1, length(word) // 2) AS a, substr(word, length(word) // 2 + 1) AS b FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4),
+    k AS MATERIALIZED (SELECT w AS word FROM p UNION SELECT a FROM p UNION SELECT b FROM p),
+    w AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents) JOIN k USING (word) GROUP BY 1),
+    x AS (SELECT k.word, coalesce(w.n, 0) AS n FROM k LEFT JOIN w USING (word))
+    SELECT p.w AS word, CASE WHEN j.n > 0 THEN true ELSE NOT (length(a) >= 3 AND length(b) >= 3 AND l.n >= 2 AND r.n >= 2) END AS joined
+    FROM p JOIN x j ON j.word = p.w JOIN x l ON l.word = p.a JOIN x r ON r.word = p.b
 """)
 def hyphen_joins(spark, sf_dir):
     """Words of the benchmark broken in the middle: joined again by the documents' own lexicon. Compounds are apart from this."""
