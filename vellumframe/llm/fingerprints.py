@@ -56,26 +56,35 @@ def differing_sections(a, b):
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(F.transform(x, lambda s, i: F.when(F.array_contains(y, s), -1).otherwise(i)), lambda i: i >= 0))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with next_<column> of the row with the next smaller key; after the smallest comes the largest.
+#: Buckets that rows without an id are dealt to, by their text; a power of two.
+NULL_BUCKETS = 4096
 
-    Keys are taken in buckets of 2**10, so a task holds a bucket and never all rows; only the last row of a bucket looks
-    into the next bucket that has any, and those few rows are joined. Rows that repeat a key follow one another. Null
-    keys come last. A single row is its own next.
+
+def with_next(df: DataFrame, key: str, make, columns: list[str]) -> DataFrame:
+    """make(df) with next_<column> of the row with the next smaller key; after the smallest comes the largest.
+
+    Rows are exchanged once, before make adds its columns. Keys are taken in buckets of 2**10, so a task holds a bucket and
+    never all rows; only the last row of a bucket looks into the next bucket that has any, and those few rows are joined.
+    Rows that repeat a key follow one another in one bucket. Null keys come last, in buckets by a hash of their columns. A
+    single row is its own next.
     """
     names = [f"next_{c}" for c in columns]
-    dealt = df.withColumn("_bucket", F.coalesce(bucket(F.col(key)), F.lit(-(1 << 62)).cast("long"))).repartition("_bucket")
-    # Keys that are null are all in the lowest bucket.
+    # Below all buckets of keys, which are 2**53 at the least.
+    unkeyed = F.lit(-(1 << 62)).cast("long") - F.xxhash64(*df.columns).bitwiseAND(NULL_BUCKETS - 1)
+    dealt = df.withColumn("_bucket", F.coalesce(bucket(F.col(key)), unkeyed)).repartition("_bucket")
     order = Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last())
-    own = dealt.withColumn("_row", F.row_number().over(order)).withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    inner = own.where("_next is not null").select(*df.columns, *[F.col("_next")[c].alias(n) for c, n in zip(columns, names, strict=True)])
-    heads = own.where("_row = 1").select(F.col("_bucket").alias("_head"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    keys = dealt.groupBy("_bucket").agg(F.lit(1).alias("_one")).select("_bucket")
+    made = make(dealt)
+    inner = made.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where("_next is not null")
+    inner = inner.select(*[c for c in made.columns if c != "_bucket"], *[F.col("_next")[c].alias(n) for c, n in zip(columns, names, strict=True)])
+    heads = make(dealt.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row"))
+    heads = heads.select(F.col("_bucket").alias("_head"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    ends = make(dealt.withColumn("_more", F.lead(F.lit(1)).over(order)).where("_more is null").drop("_more"))
+    keys = df.select(F.coalesce(bucket(F.col(key)), unkeyed).alias("_bucket")).distinct()
     # The lowest bucket goes on with the highest.
     chain = lower_neighbours(keys, "_bucket", FIRST + NEXT)
     top = keys.agg(F.max("_bucket").alias("_top"))
     after = chain.crossJoin(F.broadcast(top)).select(F.col("_bucket").alias("_from"), F.coalesce("lower", "_top").alias("_head"))
-    tails = own.where("_next is null").join(after, F.col("_bucket") == F.col("_from")).join(heads, "_head").select(*df.columns, *names)
+    tails = ends.join(after, F.col("_bucket") == F.col("_from")).join(heads, "_head").select(*[c for c in made.columns if c != "_bucket"], *names)
     return inner.unionByName(tails)
 
 
@@ -83,12 +92,11 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third of characters replaced by the first as many of the next document, by descending
-    id. Null text is empty. Rows that repeat an id are neighbours. Other columns aren't read. An empty table gives no
-    rows. One exchange moves texts, once, with their fingerprints.
+    id, an integer. Null text is empty. Rows that repeat an id are neighbours. Other columns aren't read. An empty table
+    gives no rows. One exchange moves texts, once; fingerprints are made behind it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = with_fingerprint(df.select(F.col(id_col).alias("id"), text.alias("text")), "text", "fp")
-    rows = with_next(own, "id", ["text", "fp"])
+    rows = with_next(df.select(F.col(id_col).alias("id"), text.alias("text")), "id", lambda d: with_fingerprint(d, "text", "fp"), ["text", "fp"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.when(third > 0, F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))")).otherwise("")))
