@@ -235,5 +235,5 @@ def language_sql(text: str) -> str:
         f"CASE WHEN array_max(scripts).n > {latin} THEN {found('array_max(scripts).lang', share('array_max(scripts).n', f'({latin} + {total("scripts")})'))} "
         f"WHEN {latin} = 0 THEN {found('NULL', '0')} WHEN rlike({text}, '{VIETNAMESE}') THEN {found("'vi'", '0.8')} ELSE {by_stops} END"
     )
-    letters = bind(f"regexp_replace({text}, r'\P{{L}}+', '')", "letters", bind(r"regexp_replace(letters, r'\p{IsLatin}+', '')", "other", bind(f"array({scripts})", "scripts", by_script)))
+    letters = bind(rf"regexp_replace({text}, r'\P{{L}}+', '')", "letters", bind(r"regexp_replace(letters, r'\p{IsLatin}+', '')", "other", bind(f"array({scripts})", "scripts", by_script)))
     return f"(CASE WHEN length({text}) >= 20 THEN {letters} ELSE {found('NULL', '0')} END)"
