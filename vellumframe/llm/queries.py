@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumframe.llm import bpe, chat, exact_dedup, fingerprints, idstore, packing, pii, quality, simhash, warc
+from vellumframe.llm import bpe, chat, exact_dedup, filter_audit, fingerprints, idstore, packing, pii, quality, repair, simhash, token_counts, warc
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +65,18 @@ def op10_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.stored(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_idstore": op10_idstore,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +123,29 @@ ORACLE_SQL: dict[str, str] = {
                CAST(n AS BIGINT) AS formatted_chars
         FROM c
     """,
+    "op11_filter_audit": """
+        WITH RECURSIVE o(filter_order) AS (
+            SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)
+        ), t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), f AS (
+            SELECT part, doc_id, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+                   regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e
+            FROM t
+        ), m AS (
+            SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+                   count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+            FROM f LEFT JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2
+        ), s AS (
+            SELECT part, filter_order, i AS step, substr(filter_order, i, 1) AS letter, fails, n, good, toxic, contains(fails, substr(filter_order, i, 1)) AS failing,
+                   length(translate(substr(filter_order, 1, i - 1), fails, '')) < i - 1 AS gone
+            FROM m, (SELECT filter_order FROM o WHERE length(filter_order) = 5), (SELECT unnest(range(1, 6)) AS i)
+        ), g AS (
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (gone AND failing), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
+            FROM s GROUP BY part, filter_order, step, letter
+        )
+        SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g
+    """,
 }
