@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumframe.llm.work import cut
@@ -79,10 +79,8 @@ def replay(flagged: DataFrame, letters: str = LETTERS) -> DataFrame:
         count(F.col("mask") == F.col("_bit")).alias("unique_fails"), count(here & F.col("good")).alias("good_lost"), count(here & F.col("toxic")).alias("toxic_lost"),
     )
     letter = F.substring(F.col("filter_order"), F.col("_at") + 1, F.lit(1))
-    rows = counted.withColumn("_letter", letter)
-    shares = rows.groupBy(F.col("part").alias("_part"), F.col("_letter").alias("_of")).agg(F.sum("removed").alias("shapley"))
-    out = rows.join(shares, (F.col("part") == F.col("_part")) & (F.col("_letter") == F.col("_of")))
-    return out.select("part", "filter_order", (F.col("_at") + 1).cast("int").alias("step"), "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    share = F.sum("removed").over(Window.partitionBy("part", letter))  # a row for each order
+    return counted.select("part", "filter_order", (F.col("_at") + 1).cast("int").alias("step"), "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", share.alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
