@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pytest
 
 import oracle_check
-from vellumframe.plans import applied, catalogue, fixtures  # noqa: F401
+from vellumframe.plans import applied, catalogue, fixtures, layouts  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
-from vellumframe.operators import modes
+from vellumframe.operators import modes, tree
 
 #: Elements that float, blocks, and what holds blocks.
 FLOATS = ["fig", "table-wrap", "fig-group", "boxed-text"]
@@ -115,25 +115,28 @@ def structure(dom: DataFrame, doc: str) -> DataFrame:
 def placement(dom: DataFrame, doc: str) -> DataFrame:
     """doc, pre, id, kind, relation: where a float stands in relation to the block that first cites it.
 
-    References inside the float, and those of contents lists and indexes, don't count. Ancestors are found by interval
-    joins within documents; distances count a parent's children that don't float.
+    References inside the float, and those of contents lists and indexes, don't count. Ancestors are found by the
+    levels that are open (tree.py); distances count a parent's children that don't float.
     """
     d = F.col(doc)
     label = dom.where("tag = 'label'").select(d.alias("_ld"), F.col("parent").alias("_lp")).distinct()
     floats = with_parent(dom, doc).where(F.col("tag").isin(*FLOATS) & attr("id").isNotNull() & ~((F.col("tag") == "fig") & (F.col("parent_tag") == "fig-group")))
     floats = floats.join(label, (d == F.col("_ld")) & (F.col("pre") == F.col("_lp")), "left").select(doc, "pre", "last", "parent", "parent_tag", "pos", "tail", attr("id").alias("id"), F.concat("tag", F.when(F.col("_lp").isNull() & (F.col("tag") != "boxed-text"), "(unlabeled)").otherwise("")).alias("kind"))
-    nav = dom.where(F.col("tag").isin(*NAVIGATION)).select(d.alias("_nd"), F.col("pre").alias("_np"), F.col("last").alias("_nl"))
-    xrefs = dom.where("tag = 'xref'").select(doc, F.col("pre").alias("x"), attr("rid").alias("rid"))
-    xrefs = xrefs.join(nav, (d == F.col("_nd")) & (F.col("x") > F.col("_np")) & (F.col("x") <= F.col("_nl")), "left_anti")
+    xrefs = tree.around(dom.where("tag = 'xref'").select(doc, "pre", attr("rid").alias("rid")), dom.where(F.col("tag").isin(*NAVIGATION)), [doc], "_nav")
+    xrefs = xrefs.where("_nav = 0").select(doc, F.col("pre").alias("x"), "rid")
     cites = xrefs.select(d.alias("_xd"), "x", "rid").join(floats.select(doc, "id", "pre", "last"), (F.col("_xd") == d) & (F.col("rid") == F.col("id")) & ~F.col("x").between(F.col("pre"), F.col("last")))
     first = cites.groupBy(F.col("_xd").alias("_cd"), F.col("pre").alias("_cp")).agg(F.min("x").alias("x"))
     rows = floats.join(first, (d == F.col("_cd")) & (F.col("pre") == F.col("_cp")), "left").drop("_cd", "_cp")
 
-    around = with_parent(dom, doc).select(d.alias("_ad"), F.col("pre").alias("a"), F.col("last").alias("al"), F.col("tag").alias("at"), F.col("parent").alias("ap"), F.col("pos").alias("apos"), F.col("parent_tag").alias("apt"))
+    around = with_parent(dom, doc).select(d.alias("_ad"), F.col("pre").alias("a"), F.col("tag").alias("at"), F.col("parent").alias("ap"), F.col("pos").alias("apos"), F.col("parent_tag").alias("apt"))
 
     def up(rows: DataFrame, at: str, name: str) -> DataFrame:
         """Adds the block around a node (nearest node whose parent holds blocks), its parent and place, and the parts around it."""
-        met = rows.where(F.col(at).isNotNull()).select(doc, "pre", at).join(around, (d == F.col("_ad")) & (F.col("a") <= F.col(at)) & (F.col(at) <= F.col("al")))
+        asked = rows.where(F.col(at).isNotNull()).select(doc, "pre", F.col(at).alias("_at"))
+        nodes = asked.select(doc, F.col("_at").alias("pre")).distinct()
+        pairs = tree.within(dom, nodes, [doc]).unionByName(nodes.select(doc, F.col("pre").alias("outer_pre"), F.col("pre").alias("inner_pre")))
+        pairs = pairs.select(d.alias("_pd"), "outer_pre", "inner_pre")
+        met = asked.join(pairs, (d == F.col("_pd")) & (F.col("_at") == F.col("inner_pre"))).join(around, (F.col("_pd") == F.col("_ad")) & (F.col("outer_pre") == F.col("a")))
         found = met.groupBy(d.alias("_ud"), F.col("pre").alias("_up")).agg(
             F.max(F.when(F.col("apt").isin(*HOLDERS) & ~F.col("at").isin("xref"), F.struct("a", "ap", "apos"))).alias(f"{name}_block"),
             F.sort_array(F.collect_list(F.when(F.col("at").isin(*PARTS), F.struct("a", "at"))), asc=False).alias(f"{name}_parts"),

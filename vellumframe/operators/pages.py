@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
-from vellumframe.operators import ordered
+from vellumframe.operators import ordered, tree
 
 #: Tolerance of the trim, the outer share of a page where side tabs stand, shares of matched words of a line,
 #: rows of a page report, and the pages and zone in which a file's first printed number is looked for.
@@ -50,16 +50,14 @@ def dominant_rotation(spans: DataFrame, keys: list[str], rotation: str, text: st
 
 def contexts(dom: DataFrame, doc: str, tag: str = "xref") -> DataFrame:
     """doc, pre, context of each element of a tag: what the elements around it make it, body where none counts."""
-    kinds = F.lit(None).cast("string")
-    for name, tags in reversed(CONTEXTS):
-        kinds = F.when(F.col("tag").isin(*tags), name).otherwise(kinds)
-    around = dom.withColumn("_kind", kinds).where("_kind is not null").select(F.col(doc).alias("_doc"), F.col("pre").alias("_pre"), F.col("last").alias("_last"), "_kind")
-    own = dom.where(F.col("tag") == tag).select(doc, "pre")
-    met = own.join(around, (F.col(doc) == F.col("_doc")) & (F.col("_pre") < F.col("pre")) & (F.col("pre") <= F.col("_last")), "left")
-    order = F.lit(len(CONTEXTS))
-    for i, (name, _) in enumerate(CONTEXTS):
-        order = F.when(F.col("_kind") == name, i).otherwise(order)
-    return met.groupBy(doc, "pre").agg(F.coalesce(F.min_by("_kind", order), F.lit("body")).alias("context"))
+    rank = F.lit(None).cast("int")
+    for i, (_, tags) in reversed(list(enumerate(CONTEXTS))):
+        rank = F.when(F.col("tag").isin(*tags), i).otherwise(rank)
+    holders = dom.select(doc, rank.alias("_rank"), "pre", "last").where("_rank is not null")
+    asked = dom.where(F.col("tag") == tag).select(doc, "pre", F.explode(F.array(*[F.lit(i) for i in range(len(CONTEXTS))])).alias("_rank"))
+    found = tree.around(asked, holders, [doc, "_rank"], "_n")
+    first = found.groupBy(doc, "pre").agg(F.min(F.when(F.col("_n") > 0, F.col("_rank"))).alias("_first"))
+    return first.select(doc, "pre", F.coalesce(F.get(F.array(*[F.lit(name) for name, _ in CONTEXTS]), "_first"), F.lit("body")).alias("context"))
 
 
 def marks(targets: DataFrame, lines: DataFrame) -> DataFrame:
