@@ -38,7 +38,8 @@ def subtree_sums(df: DataFrame, node: str, parent: str, value: str, levels: int
             raise ValueError("the edges have a cycle")
 
 
-def _same(keys: list[str], prefix: str):
+def same(keys: list[str], prefix: str):
+    """Equality, nulls too, of keys and of columns whose names have the prefix."""
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
@@ -68,7 +69,7 @@ def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
 def around(nodes: DataFrame, ancestors: DataFrame, keys: list[str], name: str) -> DataFrame:
     """nodes with `name`: how many of the ancestors they are inside of. Intervals pre to last nest, as those of a tree do."""
     counted = _opened(nodes, ancestors, keys).where("_kind = 0").select(*[F.col(k).alias(f"_n_{k}") for k in keys], (F.col("_order") / 2).cast("long").alias("_n_pre"), F.col("_open").alias(name))
-    return nodes.join(counted, _same([*keys, "pre"], "_n_")).select(*nodes.columns, name)
+    return nodes.join(counted, same([*keys, "pre"], "_n_")).select(*nodes.columns, name)
 
 
 def within(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,4 +89,4 @@ def nearest_ancestor(nodes: DataFrame, ancestors: DataFrame, keys: list[str], co
     pairs = _met(_opened(nodes, ancestors, keys).withColumn("_level", level).where("_level > 0"), keys)
     pairs = pairs.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col("pre").alias("_n_pre"), "ancestor", "_level")
     more = [] if count is None else [F.coalesce("_level", F.lit(0).cast("long")).alias(count)]
-    return nodes.join(pairs, _same([*keys, "pre"], "_n_"), "left").select(*nodes.columns, "ancestor", *more)
+    return nodes.join(pairs, same([*keys, "pre"], "_n_"), "left").select(*nodes.columns, "ancestor", *more)

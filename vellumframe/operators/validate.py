@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
-from vellumframe.operators import bags
+from vellumframe.operators import bags, tree
+from vellumframe.shared import written
 
 #: Elements that a reference of a type may name, and the elements that are counted.
 EXPECTED = {"fig": ["fig"], "table": ["table-wrap"], "box": ["boxed-text"], "bibr": ["ref"], "fn": ["fn"], "sec": ["sec"], "chapter": ["book-part"], "app": ["book-part", "app"], "disp-formula": ["disp-formula"]}
@@ -104,18 +105,22 @@ def coverage(pages: DataFrame, xml_words: DataFrame) -> DataFrame:
     return found.withColumn("coverage", F.when(F.col("words") > 0, F.round(F.col("matched") / F.col("words"), 4)).otherwise(1.0))
 
 
-def _own_text(dom: DataFrame, doc: str, tag: str) -> DataFrame:
-    """doc, pre, parent, text of elements of a tag: all text below them, in order."""
-    heads = dom.where(F.col("tag") == tag).select(doc, F.col("pre").alias("_pre"), F.col("last").alias("_last"), F.col("parent").alias("_parent"))
+def _own_text(dom: DataFrame, doc: str, *tags: str) -> DataFrame:
+    """doc, pre, parent, tag, text of elements of some tags: all text below them, in order."""
+    heads = dom.where(F.col("tag").isin(*tags)).select(doc, F.col("pre").alias("_pre"), F.col("last").alias("_last"), F.col("parent").alias("_parent"), F.col("tag").alias("_tag"))
     below = dom.select(F.col(doc).alias("_doc"), "pre", "last", "text", "tail")
-    met = heads.join(below, (F.col(doc) == F.col("_doc")) & (F.col("pre") >= F.col("_pre")) & (F.col("pre") <= F.col("_last")))
+    own = heads.select(doc, F.col("_pre").cast("long").alias("_outer"), F.col("_pre").cast("long").alias("_inner"))
+    pairs = tree.within(heads.select(doc, F.col("_pre").alias("pre"), F.col("_last").alias("last")), dom, [doc]).toDF(doc, "_outer", "_inner").unionByName(own)
+    pairs = pairs.withColumnRenamed(doc, "_of")
+    met = heads.join(pairs, (F.col(doc) == F.col("_of")) & (F.col("_pre") == F.col("_outer"))).join(below, (F.col("_of") == F.col("_doc")) & (F.col("_inner") == F.col("pre")))
     # A text stands at the element's start, a tail at its end: after all that is below, so after an earlier start's.
-    parts = met.select(doc, "_pre", "_parent", F.explode(F.array(F.struct((F.col("pre") * 2).alias("at"), F.lit(0).alias("up"), F.col("text").alias("t")), F.when(F.col("pre") > F.col("_pre"), F.struct((F.col("last") * 2 + 1).alias("at"), (-F.col("pre")).alias("up"), F.col("tail").alias("t"))))).alias("p")).where("p is not null")
-    return parts.groupBy(doc, "_pre", "_parent").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("text")).select(doc, F.col("_pre").alias("pre"), F.col("_parent").alias("parent"), "text")
+    parts = met.select(doc, "_pre", "_parent", "_tag", F.explode(F.array(F.struct((F.col("pre") * 2).alias("at"), F.lit(0).alias("up"), F.col("text").alias("t")), F.when(F.col("pre") > F.col("_pre"), F.struct((F.col("last") * 2 + 1).alias("at"), (-F.col("pre")).alias("up"), F.col("tail").alias("t"))))).alias("p")).where("p is not null")
+    return parts.groupBy(doc, "_pre", "_parent", "_tag").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("text")).select(doc, F.col("_pre").alias("pre"), F.col("_parent").alias("parent"), F.col("_tag").alias("tag"), "text")
 
 
-def texts(dom: DataFrame, doc: str, tag: str) -> DataFrame:
-    return _own_text(dom, doc, tag)
+def texts(dom: DataFrame, doc: str, *tags: str) -> DataFrame:
+    """doc, pre, parent, tag, text of elements of some tags: all text below them, in order."""
+    return _own_text(dom, doc, *tags)
 
 
 def _recall(golden: DataFrame, made: DataFrame, name: str) -> DataFrame:
@@ -133,39 +138,40 @@ def compare(golden: DataFrame, made: DataFrame, doc: str) -> DataFrame:
     def bag(dom: DataFrame, rows: DataFrame) -> DataFrame:
         return rows.groupBy("word").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
-    def all_words(dom):
+    def all_words(dom, own):
         return bag(dom, dom.select(F.explode(T.ascii_words(F.concat_ws(" ", "text", "tail"))).alias("word")))
 
-    def titles(dom):
+    def titles(dom, own):
         secs = dom.where("tag = 'sec'").select(F.col(doc).alias("_d"), F.col("pre").alias("_p"))
-        rows = _own_text(dom, doc, "title").join(secs, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
+        rows = own.where(F.col("tag") == "title").join(secs, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
         return bag(dom, rows.select(F.array_join(T.ascii_words(F.col("text")), " ").alias("word")).where("word <> ''"))
 
-    def starts(dom):
-        return bag(dom, _own_text(dom, doc, "p").select(F.array_join(F.slice(T.ascii_words(F.col("text")), 1, 8), " ").alias("word")).where("word <> ''"))
+    def starts(dom, own):
+        return bag(dom, own.where(F.col("tag") == "p").select(F.array_join(F.slice(T.ascii_words(F.col("text")), 1, 8), " ").alias("word")).where("word <> ''"))
 
     def labels(tag):
-        def of(dom):
-            own = dom.where(F.col("tag") == tag).select(F.col(doc).alias("_d"), F.col("pre").alias("_p"))
-            rows = _own_text(dom, doc, "label").join(own, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
+        def of(dom, own):
+            holder = dom.where(F.col("tag") == tag).select(F.col(doc).alias("_d"), F.col("pre").alias("_p"))
+            rows = own.where(F.col("tag") == "label").join(holder, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
             key = F.translate(F.regexp_extract("text", r"([A-Z]?[0-9]+(?:[.\-–][0-9]+)*)", 1), ".–", "--")
             return rows.select(key.alias("word")).where("word <> ''").distinct().withColumn("n", F.lit(1).cast("long"))
 
         return of
 
-    def xrefs(dom):
+    def xrefs(dom, own):
         kind = dom.where("tag = 'xref'").select(F.col(doc).alias("_d"), F.col("pre").alias("_p"), attr("ref-type").alias("_k"))
-        rows = _own_text(dom, doc, "xref").join(kind, (F.col(doc) == F.col("_d")) & (F.col("pre") == F.col("_p")))
+        rows = own.where(F.col("tag") == "xref").join(kind, (F.col(doc) == F.col("_d")) & (F.col("pre") == F.col("_p")))
         return bag(dom, rows.select(F.concat_ws("|", F.coalesce("_k", F.lit("")), F.array_join(T.ascii_words(F.col("text")), " ")).alias("word")))
 
-    def terms(dom):
+    def terms(dom, own):
         entry = dom.where("tag = 'index-entry'").select(F.col(doc).alias("_d"), F.col("pre").alias("_p"))
-        rows = _own_text(dom, doc, "term").join(entry, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
+        rows = own.where(F.col("tag") == "term").join(entry, (F.col(doc) == F.col("_d")) & (F.col("parent") == F.col("_p")))
         return bag(dom, rows.select(F.array_join(T.ascii_words(F.col("text")), " ").alias("word")))
 
+    said = [written(_own_text(df, doc, "title", "p", "label", "xref", "term"), "texts") for df in (golden, made)]
     out = None
     for name, of in (("words", all_words), ("section titles", titles), ("paragraph starts", starts), ("figures", labels("fig")), ("tables", labels("table-wrap")), ("references", xrefs), ("index terms", terms)):
-        row = _recall(of(golden), of(made), name)
+        row = _recall(of(golden, said[0]), of(made, said[1]), name)
         out = row if out is None else out.union(row)
     return out
 

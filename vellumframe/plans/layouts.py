@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumframe.operators import align, pages, tree
 from vellumframe.operators import lines as building
-from vellumframe.operators import pages, tree
-from vellumframe.plans.catalogue import query, table
+from vellumframe.plans.catalogue import SQL_LINES, lines, query, table
 
 _SPANS = """SELECT l_orderkey // 4 AS page, l_orderkey % 4 * 8 + l_linenumber AS frag, CAST(l_partkey % 40 * 5 AS DOUBLE) AS x0, 12.0 * (1 + l_suppkey % 6) + l_linenumber % 4 * 0.5 - size AS y0,
     CAST(l_partkey % 40 * 5 + 5 + l_suppkey % 30 AS DOUBLE) AS x1, 12.0 * (1 + l_suppkey % 6) + l_linenumber % 4 * 0.5 AS y1, size, CASE l_linenumber % 3 WHEN 0 THEN '1.' WHEN 1 THEN 'word ' ELSE l_returnflag END AS text
@@ -76,3 +76,30 @@ def link_contexts(spark, sf_dir):
     pre = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     links = item.select(F.floor(F.col("l_orderkey") / 1024).alias("doc"), pre.alias("pre"), pre.alias("last"), F.lit("xref").alias("tag")).distinct()
     return pages.contexts(holders.unionByName(links), "doc")
+
+
+_PIECES = "SELECT item_id * 4096 + i AS probe, CASE item_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'body_p' ELSE 'reference' END AS kind, array_to_string(regexp_extract_all(lower(replace(p, chr(173), '')), '[\\p{L}\\p{N}_]+'), ' ') AS k FROM (SELECT item_id, unnest(string_split(text, '. ')) AS p, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark)"
+
+
+@query(f"""
+    WITH p AS MATERIALIZED (SELECT * FROM ({_PIECES}) WHERE length(k) >= 6),
+    s AS (SELECT doc_id * 65536 + line_no AS ord, doc_id, line_no, line, array_to_string(regexp_extract_all(lower(replace(line, chr(173), '')), '[\\p{{L}}\\p{{N}}_]+'), ' ') AS n FROM ({SQL_LINES})
+          UNION ALL SELECT (item_id + 1000000) * 65536, item_id + 1000000, 0, text, array_to_string(regexp_extract_all(lower(replace(text, chr(173), '')), '[\\p{{L}}\\p{{N}}_]+'), ' ') FROM benchmark),
+    l AS MATERIALIZED (SELECT * FROM s WHERE length(n) >= 6),
+    h AS (SELECT p.probe, min(p.kind) AS kind, min(l.ord) AS ord FROM p JOIN l ON substr(n, 1, 12) = substr(k, 1, 12) AND (starts_with(k, substr(n, 1, 40)) OR starts_with(n, substr(k, 1, 40))) GROUP BY p.probe),
+    f AS (SELECT h.kind, CAST(8 + s.line_no % 5 AS DOUBLE) AS size, s.doc_id % 2 = 0 AS bold FROM h JOIN s USING (ord)),
+    b AS (SELECT CAST(arg_max(size, n * 1000000000000 - first) AS DOUBLE) AS body FROM (SELECT CAST(8 + line_no % 5 AS DOUBLE) AS size, sum(length(line)) AS n, min(ord) / 1000000 AS first FROM s GROUP BY 1))
+    SELECT kind, count(*) AS matched, median(round(size / body, 2)) AS size_ratio_median, min(round(size / body, 2)) AS size_ratio_min, max(round(size / body, 2)) AS size_ratio_max, round(avg(CAST(bold AS INT)), 2) AS bold FROM f, b GROUP BY kind
+""")
+def aligned_kinds(spark, sf_dir):
+    """What the lines look like that stand for sentences of the benchmark: all lines of documents, and the benchmark's own texts."""
+    pieces = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.posexplode(F.split("text", "\\. ")).alias("i", "text"))
+    kind = F.when(F.col("item_id") % 3 == 0, "title").when(F.col("item_id") % 3 == 1, "body_p").otherwise("reference")
+    probes = pieces.select(F.lit(1).alias("book"), (F.col("item_id") * 4096 + F.col("i")).alias("probe"), kind.alias("kind"), "text")
+    own = table(spark, sf_dir, "benchmark", "item_id", "text").select((F.col("item_id") + 1000000).alias("doc_id"), F.lit(0).alias("line_no"), F.col("text").alias("line"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", "line").unionByName(own)
+    laid = rows.select(
+        F.lit(1).alias("book"), (F.col("doc_id") * 65536 + F.col("line_no")).alias("ord"), F.col("doc_id").alias("page"), F.col("line").alias("text"), (8 + F.col("line_no") % 5).cast("double").alias("size"),
+        F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1"), F.lit(1.0).alias("page_w"), (F.col("doc_id") % 2 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit("Body").alias("font"), F.lit(0).alias("color"),
+    )
+    return align.align(probes, laid, ["book"], most=None).select("kind", "matched", "size_ratio_median", "size_ratio_min", "size_ratio_max", "bold")
