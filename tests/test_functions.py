@@ -59,12 +59,6 @@ def test_markers(spark):
 def test_index_pages(spark):
     got = apply(spark, T.page_tokens, ["123–25f", "105b", "xii", "x–y"])
     assert [[tuple(x) for x in g] for g in got] == [[("123", "", "start-of-range"), ("125", "f", "end-of-range")], [("105", "b", None)], [("xii", "", None)], []]
-    assert P.index_entry("Angina, 12, 45–47") == ("Angina", ["12", "45–47"], [], [])
-    assert P.index_entry("Heart. See also Angina; Valve") == ("Heart", [], [], ["Angina", "Valve"])
-    assert P.index_entry("Corazón, véase Angina") == ("Corazón", [], ["Angina"], [])
-    (row,) = apply(spark, P.index_entry_column, ["Angina, 12"])
-    assert row[0] == "Angina" and json.loads(row[1]) == ["12"]
-
 
 def test_boxes_and_keys(spark):
     assert apply(spark, T.box_type, ["Caso clínico", "Warning!", "Other", "Una guía", None]) == ["case-study", "alert", "sidebar", "guideline", "sidebar"]

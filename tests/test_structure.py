@@ -58,20 +58,6 @@ def test_heading_styles(spark):
     assert learn(schemes) == {(12.0, True): (5, 2), (11.0, True): (5, 1)}
 
 
-def test_toc(spark):
-    data = [("b", 0, 50.0, "Contents"), ("b", 1, 50.0, "Chapter 1 The heart ........ 1"), ("b", 2, 70.0, "Its valves and"), ("b", 3, 70.0, "vessels   12"), ("b", 4, 50.0, "Chapter 2. The lung 25"), ("b", 5, 50.0, "Preface xii")]
-    got = rows(structure.parse_toc(spark.createDataFrame(data, "book_id string, ord int, x0 double, text string")).orderBy("entry"))
-    assert [(r["label"], r["title"], r["page"], r["level"]) for r in got] == [("Chapter 1", "The heart", "1", 0), (None, "Its valves and vessels", "12", 1), ("Chapter 2", "The lung", "25", 0), (None, "Preface", "xii", 0)]
-
-
-def test_index(spark):
-    data = ["A", "Angina, 12, 45–47", ("acute, 13", 62), ("chronic, 14", 62), ("stable, 15", 62), "Aorta, 3,", "4, 5", "B", "Bone. See also Joint"]
-    made = [("b", i, 0, float(x[1] if isinstance(x, tuple) else 50), 150.0 if i >= 5 else 100.0, x[0] if isinstance(x, tuple) else x) for i, x in enumerate(data)]
-    got = rows(structure.parse_index(spark.createDataFrame(made, "book_id string, ord int, page int, x0 double, x1 double, text string"), 10.0).orderBy("entry"))
-    assert [(r["division"], r["level"], r["term"], r["refs"]) for r in got] == [("A", 0, "Angina", ["12", "45–47"]), ("A", 1, "acute", ["13"]), ("A", 1, "chronic", ["14"]), ("A", 1, "stable", ["15"]), ("A", 0, "Aorta", ["3", "4", "5"]), ("B", 0, "Bone", [])]
-    assert got[-1]["see_also"] == ["Joint"]
-
-
 XML = """<book><book-part id="m-ch001" book-part-type="chapter"><body><sec id="m-ch001-sec001"><title>T</title>
 <p id="m-ch001-p001">See <xref rid="m-ch001-fig001" ref-type="fig">Fig 1</xref>.</p><fig id="m-ch001-fig001"><label>Fig. 1</label></fig><p>between</p><p>x <xref rid="m-ch001-fig002" ref-type="fig">Fig 2</xref></p><p>one</p><p>two</p><fig id="m-ch001-fig002"><label>Fig. 2</label></fig>
 <fig id="m-ch001-fig003"><label>Fig. 3</label></fig><p>late <xref rid="m-ch001-fig003" ref-type="fig">Fig 3</xref> <xref rid="gone" ref-type="fig">Fig 9</xref></p><p>inside <xref rid="m-ch001-fig004" ref-type="fig">4</xref><fig id="m-ch001-fig004"/></p><fig id="m-ch001-fig005"><label>Fig. 5</label></fig></sec></body></book-part></book>"""

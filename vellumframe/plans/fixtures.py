@@ -1,5 +1,5 @@
-"""Queries of operators that the driver tables have no text for: on literals, some beside all documents. Their SQL lists what
-the rules give, derived by hand, or says the rule again."""
+"""Queries of operators that the driver tables have no text for: texts are made of the tables' numbers and names, or literals stand
+beside all documents. Their SQL says the rule again."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumframe.functions import parsers as P
 from vellumframe.functions import text as T
-from vellumframe.operators import layout, references, structure, validate, words, zones
+from vellumframe.operators import layout, lists, references, validate, words, zones
 from vellumframe.plans.catalogue import _SQL_BAGS, _SQL_LANG, SQL_LINES, _benchmark_words, lines, query, table
 
 
@@ -22,15 +22,20 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) t({columns})"
 
 
-_CITED = ["see Figs. 3-1, 3-4 and 3-6.", "Figuras 3-1 a 3-4", "Chapters 1-3", "tabla 2 y cuadro 4", "Appendix A", "known [1, 3] or (4) not f(5)", "fig. técnica 1.4.3", "nothing"]
-_CITES = [(0, "fig", "3-1", 4, 13), (0, "fig", "3-4", 15, 18), (0, "fig", "3-6", 23, 26), (1, "fig", "3-1", 0, 17), (2, "chapter", "1-3", 0, 12), (3, "table", "2", 0, 7), (3, "table-or-box", "4", 10, 18), (4, "app", "A", 0, 10), (5, "bibr", "1", 7, 8), (5, "bibr", "3", 10, 11), (5, "bibr-paren", "4", 17, 18), (6, "fig", "T1-4-3", 0, 18)]
+_CITED = "concat('see Figs. ', l_suppkey % 30, '-', l_linenumber, ', ', l_suppkey % 30, '-', l_linenumber + 2, ' and ', l_suppkey % 30, '-', l_linenumber + 5, '; tabla ', l_partkey % 50, ' y cuadro ', l_linenumber, ', known [', l_linenumber, ', 9] or (4).')"
 
 
-@query(values(_CITES, 'id, kind, key, start_at, end_at'))
+@query(f"""
+    WITH t AS (SELECT DISTINCT l_suppkey % 30 AS s, l_linenumber AS n, l_partkey % 50 AS p, {_CITED} AS text FROM lineitem)
+    SELECT text, unnest([{{'kind': 'fig', 'key': concat(s, '-', n)}}, {{'kind': 'fig', 'key': concat(s, '-', n + 2)}}, {{'kind': 'fig', 'key': concat(s, '-', n + 5)}}, {{'kind': 'table', 'key': CAST(p AS VARCHAR)}}, {{'kind': 'table-or-box', 'key': CAST(n AS VARCHAR)}},
+        {{'kind': 'bibr', 'key': CAST(n AS VARCHAR)}}, {{'kind': 'bibr', 'key': '9'}}, {{'kind': 'bibr-paren', 'key': '4'}}], recursive := true) FROM t
+""")
 def citations_spans(spark, sf_dir):
-    """Citations in literals."""
-    found = literals(spark, _CITED).select("id", F.explode(P.citation_column(F.col("text"))).alias("c"))
-    return found.select("id", "c.kind", "c.key", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"))
+    """Citations of several forms in one sentence, whose numbers are those of line items; each stands in the text where it says."""
+    item = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_partkey").select(F.expr(_CITED).alias("text")).distinct()
+    found = item.select("text", F.explode(P.citation_column(F.col("text"))).alias("c"))
+    there = F.substr("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    return found.where(F.endswith(there, F.element_at(F.split("c.key", "-"), -1))).select("text", "c.kind", "c.key")
 
 
 @query("""
@@ -43,15 +48,18 @@ def document_citations(spark, sf_dir):
     return found.groupBy("doc_id", F.col("c.kind").alias("kind"), F.col("c.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_REFS = ["Hanks SK, Hunter T. The kinase superfamily. FASEB J. 1995;9(8):576-96.", "Porter R. The greatest benefit. 2nd ed. London: HarperCollins; 1997.", "See https://example.org/x for more.", "A note without any form"]
-_SEGMENTS = [(0, "journal", "article-title", "The kinase superfamily"), (0, "journal", "source", "FASEB J"), (0, "journal", "year", "1995"), (0, "journal", "volume", "9"), (0, "journal", "issue", "8"), (0, "journal", "fpage", "576"), (0, "journal", "lpage", "96"), (1, "book", "source", "The greatest benefit"), (1, "book", "edition", "2nd ed"), (1, "book", "publisher-loc", "London"), (1, "book", "publisher-name", "HarperCollins"), (1, "book", "year", "1997"), (2, "web", "uri", "https://example.org/x")]
+_REF = "concat('Hanks SK, Hunter T. The ', p_name, '. FASEB J. ', 1900 + p_size, ';', p_partkey % 90 + 1, '(', p_size, '):', p_partkey % 500 + 100, '-', p_partkey % 500 + 120, '.')"
 
 
-@query(values(_SEGMENTS, "id, type, kind, part"))
+@query("""
+    SELECT p_partkey, 'journal' AS type, unnest([{'kind': 'article-title', 'part': concat('The ', p_name)}, {'kind': 'source', 'part': 'FASEB J'}, {'kind': 'year', 'part': CAST(1900 + p_size AS VARCHAR)}, {'kind': 'volume', 'part': CAST(p_partkey % 90 + 1 AS VARCHAR)},
+        {'kind': 'issue', 'part': CAST(p_size AS VARCHAR)}, {'kind': 'fpage', 'part': CAST(p_partkey % 500 + 100 AS VARCHAR)}, {'kind': 'lpage', 'part': CAST(p_partkey % 500 + 120 AS VARCHAR)}], recursive := true) FROM part
+""")
 def reference_fields(spark, sf_dir):
-    """Typed parts of references; names and plain text are left out here."""
-    rows = literals(spark, _REFS).select("id", F.from_json(P.reference_column(F.col("text")), "array<string>")[0].alias("type"), F.explode(P.reference_segments(F.col("text"))).alias("s"))
-    return rows.where("s.kind not in ('text', 'surname', 'given-names')").select("id", "type", F.col("s.kind").alias("kind"), F.col("s.text").alias("part"))
+    """Typed parts of references made of parts' names and numbers; names of persons and plain text are left out here."""
+    made = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", F.expr(_REF).alias("text"))
+    rows = made.select("p_partkey", F.from_json(P.reference_column(F.col("text")), "array<string>")[0].alias("type"), F.explode(P.reference_segments(F.col("text"))).alias("s"))
+    return rows.where("s.kind not in ('text', 'surname', 'given-names')").select("p_partkey", "type", F.col("s.kind").alias("kind"), F.col("s.text").alias("part"))
 
 
 @query(f"SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^\\s*({layout.LABELS['fig']})\\s*({layout.NUMBER})') THEN 'fig' WHEN regexp_matches(line, '^\\s*({layout.LABELS['table']})\\s*({layout.NUMBER})') THEN 'table' ELSE 'box' END AS kind FROM (SELECT doc_id, line_no, line FROM ({SQL_LINES}) UNION ALL {values([(-1, 0, 'Figure 3.7 A heart'), (-1, 1, 'TABLA 2 Datos'), (-1, 2, 'Cuadro 1-1'), (-1, 3, 'Figures are fun')], 'doc_id, line_no, line')}) WHERE regexp_matches(line, '^\\s*(({layout.LABELS['fig']})|({layout.LABELS['table']})|({layout.LABELS['box']}))\\s*({layout.NUMBER})')")
@@ -69,16 +77,28 @@ def roman_round_trip(spark, sf_dir):
     return rows.select("p_partkey", T.roman_value(F.col("r")).cast("long").alias("value"))
 
 
-@query(values([("3.7", "3-7"), ("3–7", "3-7"), ("3 -7", "3-7"), ("3-72A", "3-72"), ("3-7a", "3-7"), ("A-1", "A-1")], "text, key"))
+_NUMBER = "concat(l_suppkey % 30, CASE l_linenumber % 3 WHEN 0 THEN '.' WHEN 1 THEN '–' ELSE ' -' END, l_partkey % 40, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'a' ELSE '' END)"
+
+
+@query(f"SELECT DISTINCT {_NUMBER} AS text, concat(l_suppkey % 30, '-', l_partkey % 40) AS key FROM lineitem")
 def number_keys(spark, sf_dir):
     """One form for the numbers of labels."""
-    return literals(spark, ["3.7", "3–7", "3 -7", "3-72A", "3-7a", "A-1"]).select("text", T.number_key(F.col("text")).alias("key"))
+    rows = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag").select(F.expr(_NUMBER).alias("text")).distinct()
+    return rows.select("text", T.number_key(F.col("text")).alias("key"))
+
 
+_RANGE = "CASE o_orderkey % 3 WHEN 0 THEN concat(o_custkey % 900 + 100, '–', o_orderkey % 90 + 10, 'f') WHEN 1 THEN concat(o_custkey % 900 + 100, 'b') ELSE 'xii' END"
 
-@query(values([("123–25f", "123", "start-of-range"), ("123–25f", "125", "end-of-range"), ("105b", "105", None), ("xii", "xii", None)], "text, num, type"))
+
+@query(f"""
+    WITH t AS (SELECT DISTINCT {_RANGE} AS text, o_orderkey % 3 AS kind, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey % 900 + 100 END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 90 + 10 END AS b FROM orders)
+    SELECT text, CAST(a AS VARCHAR) AS num, 'start-of-range' AS type FROM t WHERE kind = 0 UNION ALL SELECT text, CAST(a // 100 * 100 + b AS VARCHAR), 'end-of-range' FROM t WHERE kind = 0
+    UNION ALL SELECT text, CASE kind WHEN 1 THEN CAST(a AS VARCHAR) ELSE 'xii' END, NULL FROM t WHERE kind > 0
+""")
 def index_pages(spark, sf_dir):
-    """Page references of an index, ranges written out."""
-    return literals(spark, ["123–25f", "105b", "xii"]).select("text", F.explode(T.page_tokens(F.col("text"))).alias("t")).select("text", "t.num", "t.type")
+    """Page references of an index, ranges written out: customers' numbers stand for pages."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.expr(_RANGE).alias("text")).distinct()
+    return rows.select("text", F.explode(T.page_tokens(F.col("text"))).alias("t")).select("text", "t.num", "t.type")
 
 
 @query(f"WITH {_SQL_LANG} SELECT doc_id, CASE WHEN hits >= 3 AND n >= 20 THEN lang END AS lang FROM b")
@@ -125,22 +145,95 @@ def section_nesting(spark, sf_dir):
     return zones.renest(rows).select("ord", "parent")
 
 
-@query(values([(0, "F1"), (1, "F2"), (2, "T"), (3, "B"), (4, None), (5, "R"), (6, "R"), (7, "N"), (8, None)], "cite_id, rid"))
+@query("""
+    WITH t AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'table' ELSE 'box' END AS kind, concat('c', p_size % 7) AS scope, CAST(p_partkey % 300 AS VARCHAR) AS key, concat('T', p_partkey) AS target, p_partkey AS pos FROM part),
+    e AS (SELECT kind, scope, key, arg_min(target, pos) AS target FROM t GROUP BY ALL), o AS (SELECT kind, key, min(target) AS target FROM t GROUP BY ALL HAVING count(*) = 1),
+    c AS (SELECT o_orderkey AS cite_id, concat('c', o_custkey % 9) AS scope, CAST(o_custkey % 400 AS VARCHAR) AS key FROM orders)
+    SELECT cite_id, coalesce(a.target, b.target, x.target, y.target) AS rid, CASE WHEN coalesce(a.target, b.target) IS NOT NULL THEN 'table' WHEN coalesce(x.target, y.target) IS NOT NULL THEN 'box' END AS target_kind FROM c
+    LEFT JOIN e a ON a.kind = 'table' AND a.scope = c.scope AND a.key = c.key LEFT JOIN o b ON b.kind = 'table' AND b.key = c.key
+    LEFT JOIN e x ON x.kind = 'box' AND x.scope = c.scope AND x.key = c.key LEFT JOIN o y ON y.kind = 'box' AND y.key = c.key
+""")
 def cite_resolution(spark, sf_dir):
-    """Citations resolved by scope, uniqueness, precedence of kinds and ends of ranges."""
-    targets = spark.createDataFrame([("fig", "c1", "1-1", "F1", 0), ("fig", "c1", "1", "F2", 1), ("fig", "c1", "3", "F3", 2), ("table", "c1", "2", "T", 3), ("box", "c2", "4", "B", 4), ("bibr", "c1", "7", "R", 5), ("fn", "c1", "8", "N", 6)], "kind string, scope string, key string, target string, pos int")
-    asks = [("fig", "c1", "1-1"), ("fig", "c1", "1-3"), ("table-or-box", "c1", "2"), ("table-or-box", "c1", "4"), ("bibr-paren", "c2", "7"), ("bibr-paren", "c1", "7"), ("bibr", "c2", "7-9"), ("bibr-or-fn", "c1", "8"), ("fig", "c1", "77")]
-    return references.resolve(spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "cite_id int, kind string, scope string, key string"), targets).select("cite_id", "rid")
+    """Citations of tables or boxes, resolved in their scope, else by a target that is alone, tables first: orders cite parts."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    targets = part.select(F.when(F.col("p_size") % 2 == 0, "table").otherwise("box").alias("kind"), F.concat(F.lit("c"), F.col("p_size") % 7).alias("scope"), (F.col("p_partkey") % 300).cast("string").alias("key"), F.concat(F.lit("T"), F.col("p_partkey")).alias("target"), F.col("p_partkey").alias("pos"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    cites = orders.select(F.col("o_orderkey").alias("cite_id"), F.lit("table-or-box").alias("kind"), F.concat(F.lit("c"), F.col("o_custkey") % 9).alias("scope"), (F.col("o_custkey") % 400).cast("string").alias("key"))
+    return references.resolve(cites, targets).select("cite_id", "rid", "target_kind")
 
 
-_TOC = [("Contents", 50.0), ("Chapter 1 The heart ........ 1", 50.0), ("Its valves and", 70.0), ("vessels   12", 70.0), ("Chapter 2. The lung 25", 50.0)]
+_TOC = "CASE p_partkey * 7 % 11 WHEN 0 THEN concat('Chapter ', p_partkey, ' ', p_name, ' .... ', p_partkey % 900 + 1) WHEN 1 THEN 'Ana Ruiz y Luis Mora' WHEN 2 THEN 'SECTION OF PARTS' WHEN 3 THEN concat(p_name, ' ', p_partkey % 900 + 1) WHEN 4 THEN concat(p_name, ' ', p_partkey % 900 + 1) ELSE p_name END"
 
 
-@query(values([(0, "Chapter 1", "The heart", "1", 0), (1, None, "Its valves and vessels", "12", 1), (2, "Chapter 2", "The lung", "25", 0)], 'entry, label, title, page, "level"'))
+@query(f"""
+    WITH l AS (SELECT p_size AS book, p_partkey AS ord, 50 + p_partkey % 3 * 20 AS x, p_name, {_TOC} AS text, p_partkey * 7 % 11 AS k, CASE WHEN p_partkey * 7 % 11 IN (0, 3, 4) THEN 1 ELSE 0 END AS ends FROM part),
+    r AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY book ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM l),
+    g AS (SELECT *, row_number() OVER w - 1 AS i, max(ends) OVER w2 AS closed, count(*) FILTER (ends = 0) OVER w2 AS n FROM r WINDOW w AS (PARTITION BY book, run ORDER BY ord), w2 AS (PARTITION BY book, run)),
+    f AS (SELECT *, CASE WHEN n > 4 THEN (n - 1) // 4 * 4 ELSE 0 END AS full_ FROM g),
+    a AS (SELECT *, CASE WHEN closed = 1 AND full_ = 0 AND run > 0 THEN coalesce(min(i) FILTER (k <> 1 AND ends = 0) OVER (PARTITION BY book, run), n) ELSE 0 END AS names FROM f),
+    s AS (SELECT *, max(CASE WHEN i = full_ + names AND closed = 1 AND k = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY book, run) AS section FROM a),
+    c AS (SELECT *, CASE WHEN i < full_ THEN i // 4 WHEN i < full_ + names THEN -1 WHEN section = 1 AND i = full_ + names THEN 1000 WHEN closed = 1 THEN 2000 ELSE 3000 + i END AS part FROM s),
+    e AS (SELECT book, run, part, min(ord) AS ord, arg_min(x, ord) AS x, max(ends) AS paged, arg_max(k, ord) AS k, arg_max(ord, ord) AS key, arg_max(p_name, ord) AS last_name, string_agg(text, ' ' ORDER BY ord) AS text,
+                 coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (ends = 0), '') AS first FROM c WHERE part >= 0 GROUP BY ALL),
+    m AS (SELECT book, run - 1 AS run, string_agg(text, ' ' ORDER BY ord) AS authors FROM c WHERE part = -1 GROUP BY ALL)
+    SELECT e.book, e.ord, CASE WHEN paged = 1 AND starts_with(first, 'SECTION OF ') THEN 'SECTION OF' WHEN paged = 1 AND k = 0 AND first = '' THEN concat('Chapter ', key) END AS label,
+           concat_ws(' ', CASE WHEN paged = 0 THEN text WHEN k = 0 AND first = '' THEN last_name ELSE trim(concat(CASE WHEN starts_with(first, 'SECTION OF ') THEN substr(first, 12) ELSE first END, ' ', CASE WHEN k = 0 THEN concat('Chapter ', key, ' ', last_name) ELSE last_name END)) END, CASE WHEN paged = 1 THEN m.authors END) AS title,
+           CASE WHEN paged = 1 THEN CAST(key % 900 + 1 AS VARCHAR) END AS page, CAST((x - 50) // 20 AS INTEGER) AS level
+    FROM e LEFT JOIN m ON e.book = m.book AND e.run = m.run
+""")
 def toc_parse(spark, sf_dir):
-    """Entries of a contents list."""
-    df = spark.createDataFrame([("b", i, x, t) for i, (t, x) in enumerate(_TOC)], "book_id string, ord int, x0 double, text string")
-    return structure.parse_toc(df).select("entry", "label", "title", "page", "level")
+    """Entries of contents lists: the parts of one size stand for a list, some with a page, some names, some heads."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    rows = part.select(F.col("p_size").alias("book"), F.col("p_partkey").alias("ord"), (50 + F.col("p_partkey") % 3 * 20).alias("x0"), F.expr(_TOC).alias("text"))
+    return lists.contents(rows, ["book"])
+
+
+_INDEX = "SELECT p_size % 5 AS book, p_partkey AS ord, CAST(50 + CASE p_partkey * 5 % 7 WHEN 3 THEN 12 WHEN 4 THEN 12 WHEN 5 THEN 24 WHEN 6 THEN 36 ELSE 0 END AS DOUBLE) AS x0, CASE p_partkey % 6 WHEN 0 THEN 300.0 ELSE 100.0 END AS x1, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(', ', p_partkey % 900 + 1, ',') ELSE concat(', ', p_partkey % 900 + 1, '-', p_partkey % 900 + 3) END) AS text FROM part"
+
+
+@query(f"""
+    WITH RECURSIVE a AS (SELECT *, round_even(x0 / 60, 0) AS col, row_number() OVER (PARTITION BY book ORDER BY ord) AS n FROM ({_INDEX})),
+    c AS (SELECT book, col, min(x0) AS lft, list_sort(list(x1)) AS ends FROM a GROUP BY 1, 2),
+    b AS (SELECT a.*, x0 - lft AS indent, x1 >= ends[1 + CAST(floor(0.9 * (len(ends) - 1)) AS INT)] - 15 AS wide FROM a JOIN c ON a.book = c.book AND a.col = c.col),
+    d AS (SELECT book, min(d) AS d FROM (SELECT book, round_even(indent, 0) AS d FROM b WHERE indent > 1 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+    l AS (SELECT b.book, ord, n, text, wide, text LIKE '%,' AS open_, CAST(greatest(0, round_even(indent / greatest(coalesce(d, 10), 6), 0)) AS INTEGER) AS lvl FROM b LEFT JOIN d ON b.book = d.book),
+    s(book, n, head, lvl, final, raw, wide, open_) AS (
+        SELECT book, n, ord, lvl, 0, text, wide, open_ FROM l WHERE n = 1
+        UNION ALL
+        SELECT l.book, l.n, CASE WHEN on_ THEN s.head ELSE l.ord END, CASE WHEN on_ THEN s.lvl ELSE l.lvl END, CASE WHEN on_ THEN s.final ELSE least(l.lvl, s.final + 1) END, CASE WHEN on_ THEN concat(s.raw, ' ', l.text) ELSE l.text END, l.wide, l.open_
+        FROM (SELECT *, open_ AS o_ FROM s) s JOIN l ON l.book = s.book AND l.n = s.n + 1,
+             LATERAL (SELECT s.open_ OR (s.wide AND l.lvl > s.lvl AND regexp_matches(s.raw, '{lists.REFS}')) OR l.lvl > s.lvl + 1 AS on_)),
+    e AS (SELECT book, head AS ord, arg_max(final, n) AS level, arg_max(raw, n) AS raw FROM s GROUP BY 1, 2)
+    SELECT book, ord, level, CASE WHEN regexp_matches(raw, '{lists.REFS}') THEN regexp_replace(regexp_extract(raw, '{lists.REFS}', 1), '[ ,]+$', '') ELSE raw END AS term, coalesce(nullif(replace(regexp_extract(raw, '{lists.REFS}', 2), ' ', ''), ''), '') AS refs FROM e
+""")
+def index_entries(spark, sf_dir):
+    """Entries of indexes with their levels and pages: parts stand for lines, some of which go on with the one before."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    seventh, fourth, page = F.col("p_partkey") * 5 % 7, F.col("p_partkey") % 4, F.col("p_partkey") % 900 + 1
+    x0 = (50 + F.when(seventh.isin(3, 4), 12).when(seventh == 5, 24).when(seventh == 6, 36).otherwise(0)).cast("double")
+    tail = F.when(fourth == 0, "").when(fourth == 1, F.concat(F.lit(", "), page, F.lit(","))).otherwise(F.concat(F.lit(", "), page, F.lit("-"), page + 2))
+    rows = part.select((F.col("p_size") % 5).alias("book"), F.col("p_partkey").alias("ord"), F.lit(0).alias("page"), x0.alias("x0"), F.when(F.col("p_partkey") % 6 == 0, 300.0).otherwise(100.0).alias("x1"), F.concat("p_name", tail).alias("text"))
+    return lists.index(rows, ["book"], 10.0).select("book", "ord", "level", "term", F.array_join("refs", ",").alias("refs"))
+
+
+_CITES = "SELECT o_custkey % 100 AS book, o_orderkey AS ord, o_orderkey // 40 AS page, 50 + o_custkey % 4 * 5 AS x0, CAST(o_orderkey % 40 * 10 + CASE WHEN o_orderstatus = 'P' THEN 6 ELSE 0 END AS DOUBLE) AS y0, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_custkey % 100 < 50 THEN concat(o_orderkey % 90, '. Smith J.') ELSE 'A title.' END WHEN 1 THEN 'Jones K. A work' WHEN 2 THEN 'goes on (so)' ELSE 'and on' END AS text FROM orders"
+
+
+@query(f"""
+    WITH l AS (SELECT *, y0 + 9 AS y1, regexp_matches(text, '^[0-9]+[.] ') AS num, min(x0) OVER (PARTITION BY book, page, round_even(x0 / 80.0, 0)) AS lft FROM ({_CITES})),
+    m AS (SELECT *, sum(CAST(num AS INT)) OVER b >= greatest(2, 0.3 * count(*) OVER b / 2.5) AS by_number, lag(text) OVER w AS pt, lag(page) OVER w AS pp, lag(y1) OVER w AS py FROM l WINDOW b AS (PARTITION BY book), w AS (PARTITION BY book ORDER BY ord)),
+    n AS (SELECT book, ord, CASE WHEN pt IS NULL THEN 1 WHEN by_number THEN CAST(num AS INT) WHEN x0 <= lft + 1 AND regexp_matches(pt, '[.)]$') OR starts_with(text, 'Jones K.') OR (pp = page AND py <= y0 AND y0 - py > 5) THEN 1 ELSE 0 END AS new FROM m)
+    SELECT book, ord, CAST(sum(new) OVER (PARTITION BY book ORDER BY ord) - 1 AS BIGINT) AS entry FROM n
+""")
+def reference_entries(spark, sf_dir):
+    """References of a list: customers' orders stand for its lines, half of the lists are numbered."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    number = F.concat((F.col("o_orderkey") % 90).cast("string"), F.lit(". Smith J."))
+    fifth = F.col("o_orderkey") % 5
+    text = F.when(fifth == 0, F.when(F.col("o_custkey") % 100 < 50, number).otherwise("A title.")).when(fifth == 1, "Jones K. A work").when(fifth == 2, "goes on (so)").otherwise("and on")
+    y0 = (F.col("o_orderkey") % 40 * 10 + F.when(F.col("o_orderstatus") == "P", 6).otherwise(0)).cast("double")
+    rows = orders.select((F.col("o_custkey") % 100).alias("book"), F.col("o_orderkey").alias("ord"), F.floor(F.col("o_orderkey") / 40).alias("page"), (50 + F.col("o_custkey") % 4 * 5).cast("double").alias("x0"), y0.alias("y0"), F.lit(300.0).alias("x1"), (y0 + 9).alias("y1"), text.alias("text"))
+    return lists.references(rows, ["book"], 10.0).select("book", "ord", "entry")
 
 
 @query("""

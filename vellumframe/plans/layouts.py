@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumframe.operators import align, pages, tree
+from vellumframe.operators import align, pages, tables, tree
 from vellumframe.operators import lines as building
 from vellumframe.plans.catalogue import SQL_LINES, lines, query, table
 
@@ -103,3 +103,61 @@ def aligned_kinds(spark, sf_dir):
         F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1"), F.lit(1.0).alias("page_w"), (F.col("doc_id") % 2 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit("Body").alias("font"), F.lit(0).alias("color"),
     )
     return align.align(probes, laid, ["book"], most=None).select("kind", "matched", "size_ratio_median", "size_ratio_min", "size_ratio_max", "bold")
+
+
+_RULES = """SELECT l_orderkey // 16 AS page, CAST(l_partkey % 3 * 100 AS DOUBLE) AS x0, l_suppkey % 12 * 30 + l_linenumber % 2 * 0.5 AS y0, CAST(l_partkey % 3 * 100 + 60 + l_quantity AS DOUBLE) AS x1,
+    l_suppkey % 12 * 30 + l_linenumber % 2 * 0.5 + CASE WHEN l_linenumber % 5 = 0 THEN 29 ELSE 1 END AS y1, l_linenumber % 5 > 1 AS hline, CASE WHEN l_linenumber % 5 = 2 THEN 'l' ELSE 're' END AS kinds FROM lineitem"""
+_JOINED = f"""d AS (SELECT * FROM ({_RULES})),
+    g AS (SELECT DISTINCT page, x0, x1, y FROM (SELECT page, x0, x1, (y0 + y1) / 2 AS y FROM d WHERE hline OR (kinds = 're' AND x1 - x0 > 8 AND y1 - y0 < 2.5) UNION ALL
+        SELECT page, x0, x1, unnest([y0, y1]) AS y FROM d WHERE kinds = 're' AND x1 - x0 > 8 AND y1 - y0 BETWEEN 2.5 AND 120)),
+    h AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y, x0, x1 ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x0, x1) < 1.2 THEN 0 ELSE 1 END AS new FROM g)),
+    i AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page, line ORDER BY x0, y, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS fresh FROM h),
+    j AS (SELECT *, sum(fresh) OVER (PARTITION BY page, line ORDER BY x0, y, x1 ROWS UNBOUNDED PRECEDING) AS rule FROM i),
+    r AS (SELECT page, min(x0) AS x0, max(x1) AS x1, arg_min(y, x0 * 100000 + y) AS y FROM j GROUP BY page, line, rule)"""
+
+
+def _rules(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    x0, y0, fifth = (F.col("l_partkey") % 3 * 100).cast("double"), F.col("l_suppkey") % 12 * 30 + F.col("l_linenumber") % 2 * 0.5, F.col("l_linenumber") % 5
+    drawn = item.select(F.floor(F.col("l_orderkey") / 16).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 60 + F.col("l_quantity")).alias("x1"), (y0 + F.when(fifth == 0, 29).otherwise(1)).alias("y1"), (fifth > 1).alias("hline"), F.when(fifth == 2, "l").otherwise("re").alias("kinds"))
+    return tables.rules(drawn, ["page"])
+
+
+@query(f"WITH {_JOINED} SELECT page, x0, x1, y FROM r")
+def joined_rules(spark, sf_dir):
+    """Rules of pages from their segments: line items of sixteen orders stand for a page's drawings."""
+    return _rules(spark, sf_dir)
+
+
+@query(f"""
+    WITH {_JOINED},
+    a AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY x0, x1, y ROWS UNBOUNDED PRECEDING) AS l FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0, x1, y) < 4 THEN 0 ELSE 1 END AS new FROM r)),
+    b AS (SELECT page, x0, x1, y, l, sum(fresh) OVER (PARTITION BY page, l ORDER BY x1, y ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, CASE WHEN x1 - lag(x1) OVER (PARTITION BY page, l ORDER BY x1, y) < 4 THEN 0 ELSE 1 END AS fresh FROM a)),
+    c AS (SELECT page, x0, x1, y, l, e, sum(part) OVER (PARTITION BY page, l, e ORDER BY y, x0, x1 ROWS UNBOUNDED PRECEDING) AS p FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page, l, e ORDER BY y, x0, x1) - 1 < 120 THEN 0 ELSE 1 END AS part FROM b))
+    SELECT page, arg_min(x0, y * 10000 + x0) AS x0, min(y) - 0.5 AS y0, max(y) + 0.5 AS y1, count(*) AS n FROM c GROUP BY page, l, e, p HAVING count(*) >= 3 AND arg_min(x1, y * 10000 + x0) - arg_min(x0, y * 10000 + x0) >= 80
+""")
+def rule_stacks(spark, sf_dir):
+    """Stacks of rules that may be tables."""
+    return tables.stacks(_rules(spark, sf_dir), ["page"]).select("page", "x0", "y0", "y1", "n")
+
+
+@query("""
+    WITH RECURSIVE n AS (SELECT l_orderkey AS "at", count(*) AS n_rows FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1),
+    t AS (SELECT o_custkey % 20 AS book, o_orderkey AS "at", o_orderpriority AS key, o_orderkey // 40 AS page, o_orderstatus = 'P' AS told, o_orderkey % 2 AS cols, o_orderkey % 3 AS heads, coalesce(n_rows, 0) AS n_rows, row_number() OVER (PARTITION BY o_custkey % 20, o_orderpriority ORDER BY o_orderkey) AS n FROM orders LEFT JOIN n ON "at" = o_orderkey),
+    s(book, key, n, "at", head, hpage, hcols, held, taken, dropped, first_row) AS (
+        SELECT book, key, n, "at", "at", page, cols, n_rows, n_rows, CAST(0 AS BIGINT), CAST(0 AS HUGEINT) FROM t WHERE n = 1
+        UNION ALL
+        SELECT t.book, t.key, t.n, t."at", CASE WHEN goes THEN head ELSE t."at" END, CASE WHEN goes THEN hpage ELSE page END, CASE WHEN goes THEN hcols ELSE cols END, CASE WHEN goes THEN held + got ELSE t.n_rows END, CASE WHEN goes THEN got ELSE t.n_rows END, CASE WHEN goes THEN cut ELSE 0 END, CASE WHEN goes THEN held ELSE 0 END
+        FROM s JOIN t ON t.book = s.book AND t.key = s.key AND t.n = s.n + 1, LATERAL (SELECT told OR page = hpage + 1 AS goes), LATERAL (SELECT CASE WHEN held > 0 AND cols = hcols THEN least(heads, t.n_rows) ELSE 0 END AS cut),
+             LATERAL (SELECT CASE WHEN held = 0 OR cols = hcols THEN t.n_rows - cut ELSE 0 END AS got))
+    SELECT book, "at", head, CAST(first_row AS BIGINT) AS first_row, CAST(dropped AS BIGINT) AS dropped, CAST(taken AS BIGINT) AS taken FROM s
+""")
+def table_continuations(spark, sf_dir):
+    """Tables that go on over pages, and where their rows stand: orders of one priority stand for tables of one label."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").distinct().groupBy(F.col("l_orderkey").alias("_at")).agg(F.count(F.lit(1)).alias("n_rows"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").join(rows, F.col("o_orderkey") == F.col("_at"), "left")
+    made = orders.select(
+        (F.col("o_custkey") % 20).alias("book"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("key"), F.floor(F.col("o_orderkey") / 40).alias("page"), (F.col("o_orderstatus") == "P").alias("continued"),
+        (F.col("o_orderkey") % 2).alias("ncols"), (F.col("o_orderkey") % 3).alias("header_rows"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+    return tables.continued(made, ["book"]).select("book", "at", "head", "first_row", "dropped", "taken")
