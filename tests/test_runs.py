@@ -17,7 +17,20 @@ def test_corpus_runs(spark, tmp_path):
         (tmp_path / "in" / name).write_text(text)
     dom = runs.read_markup(spark, str(tmp_path / "in")).cache()
     verdicts = {r["doc"].rsplit("/", 1)[-1]: (r["status"], r["critical"]) for r in runs.check(dom, "m").collect()}
-    assert verdicts == {"a.xml": ("PASS", []), "c.xml": ("FAILED", ["broken links"]), "d.xml": ("FAILED", ["DTD invalid"])}
+    assert verdicts == {"a.xml": ("PASS WITH WARNINGS", []), "c.xml": ("FAILED", ["broken links"]), "d.xml": ("FAILED", ["DTD invalid"])}
+    # What wasn't measured is a finding; what was counts.
+    docs = [r["doc"] for r in dom.select("doc").distinct().collect()]
+    first = [d for d in docs if d.endswith("a.xml")]
+    assert {tuple(r["unmeasured"]) for r in runs.check(dom, "m").collect()} == {("coverage not measured", "pages not measured")}
+    measured = {
+        "coverage": spark.createDataFrame([(d, 0.99) for d in first], "doc string, coverage double"), "pages": spark.createDataFrame([(d, i, s) for d in docs for i, s in ((0, "PASS"), (1, "PASS" if d in first else "FAIL"))], "doc string, page int, status string"),
+    }
+    told = {r["doc"].rsplit("/", 1)[-1]: (r["status"], r["critical"], r["unmeasured"]) for r in runs.check(dom, "m", **measured).collect()}
+    assert told["a.xml"] == ("PASS", [], []) and told["c.xml"] == ("FAILED", ["broken links", "failed pages"], ["coverage not measured"])
+    seen = markup.dom(spark.createDataFrame([("d", '<r id="m-ch001"><graphic href="img/a.png"/><graphic href="b.png"/></r>')], "doc string, x string"), "doc", "x", "xml")
+    files = spark.createDataFrame([("d", "x/a.png"), ("e", "b.png")], "doc string, name string")
+    (r,) = runs.check(seen, "m", images=files).collect()
+    assert r["missing_images"] == 1 and "invalid image references" in r["critical"] and runs.check(seen, "m").first()["unmeasured"] == ["coverage not measured", "images not measured", "pages not measured"]
     paths = runs.analyze(dom.where("tag <> '#error'"), str(tmp_path / "out"))
     assert {r["tag"]: r["docs"] for r in spark.read.parquet(paths["elements"]).collect()}["fig"] == 2
     assert spark.read.parquet(paths["placement"]).count() == 2

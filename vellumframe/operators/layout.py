@@ -12,8 +12,8 @@ from vellumframe.operators.ordered import counts_near
 #: Fixed values of the rules below.
 ZONE, WINDOW, REPEATS, HEAD_CHARS = 0.085, 12, 3, 160
 DISPLAY_RATIO, DISPLAY_CHARS = 1.4, 120
-PITCH_PAGES, SAME_COLUMN, SAME_SIZE = 400, 30, 0.6
-#: Words that begin captions, and words that alone are display labels.
+SAME_COLUMN, SAME_SIZE = 30, 0.6
+#: Words that begin captions, and words that alone are display labels.
 LABELS = {
     "fig": r"FIGURA\s+T[ÉE]CNICA|Figura\s+t[ée]cnica|Fig\.\s+t[ée]cnica|FIGURA(?:\s+DE\s+REVISI[ÓO]N)?|Figura(?:\s+de\s+revisi[óo]n)?|FIGURES?|Figures?|FIG\.|Fig\.|FIGURE|Ilustraci[óo]n|L[áa]mina|Plate|PLATE|Image|IMAGEN|Imagen|Abbildung|Abb\.|Gráfico|Gráfica",
     "table": r"TABLA|Tabla|TABLE|Table|TABELLE|Tabelle|Tableau|TABLEAU|Tabela|TABELA",
@@ -38,10 +38,10 @@ def body_style(spans: DataFrame) -> DataFrame:
     return modes.weighted_mode(rows, ["book_id"], "style", F.col("w"), F.col("at")).select("book_id", F.col("mode.family").alias("body_family"), F.col("mode.size").alias("body_size"))
 
 
-def line_pitch(lines: DataFrame, style: DataFrame) -> DataFrame:
+def line_pitch(lines: DataFrame, style: DataFrame, pages: int | None = None) -> DataFrame:
     """book_id, pitch: the upper median of the steps between body lines of a column, else 1.2 times the size. style: one
-    row for each book."""
-    rows = lines.where((F.col("page") < PITCH_PAGES) & (F.col("role") == "body")).join(style, "book_id")
+    row for each book. pages: only lines of a book's first pages count, if given; 400 is what makers of such rules take."""
+    rows = lines.where(F.col("role") == "body" if pages is None else (F.col("role") == "body") & (F.col("page") < pages)).join(style, "book_id")
     before = lambda c: F.lag(c).over(Window.partitionBy("book_id", "page").orderBy(F.bround(F.col("bbox.x0") / 40), "bbox.y1", "line_no"))
     near = lambda c: F.abs(c - F.col("body_size")) <= SAME_SIZE
     rows = rows.withColumn("step", F.col("bbox.y1") - before(F.col("bbox.y1"))).withColumn("ok", near(F.col("main_size")) & near(before(F.col("main_size"))) & (F.abs(F.col("bbox.x0") - before(F.col("bbox.x0"))) < SAME_COLUMN))

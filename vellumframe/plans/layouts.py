@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumframe.operators import align, pages, tables, tree
+from vellumframe.operators import align, pages, tables, tree, zones
 from vellumframe.operators import lines as building
 from vellumframe.plans.catalogue import SQL_LINES, lines, query, table
 
@@ -161,3 +161,29 @@ def table_continuations(spark, sf_dir):
         (F.col("o_orderkey") % 2).alias("ncols"), (F.col("o_orderkey") % 3).alias("header_rows"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
     )
     return tables.continued(made, ["book"]).select("book", "at", "head", "first_row", "dropped", "taken")
+
+
+@query("""
+    WITH RECURSIVE a AS (SELECT user_id AS book, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'redo' ELSE 'edit' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s(book, n, old, undo, redo) AS (
+        SELECT DISTINCT book, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM a
+        UNION ALL
+        SELECT s.book, a.n, CASE WHEN action = 'edit' AND len(undo) >= 60 THEN list_append(old, undo[1]) ELSE old END,
+               CASE WHEN action = 'edit' THEN CASE WHEN len(undo) >= 60 THEN list_append(undo[2:], seq) ELSE list_append(undo, seq) END WHEN action = 'undo' AND len(undo) > 0 THEN undo[:-2] WHEN action = 'redo' AND len(redo) > 0 THEN list_append(undo, redo[-1]) ELSE undo END,
+               CASE WHEN action = 'edit' THEN CAST([] AS BIGINT[]) WHEN action = 'undo' AND len(undo) > 0 THEN list_append(redo, undo[-1]) WHEN action = 'redo' AND len(redo) > 0 THEN redo[:-2] ELSE redo END
+        FROM s JOIN a ON a.book = s.book AND a.n = s.n + 1),
+    e AS (SELECT book, unnest(list_concat(arg_max(old, n), arg_max(undo, n))) AS seq FROM s GROUP BY book),
+    o AS (SELECT o_custkey % 150 AS book, o_orderkey AS uid, o_orderkey // 4 AS zid FROM orders),
+    c AS (SELECT o.book, uid, max(seq) AS seq FROM o JOIN e ON e.book = o.book AND uid % 50 = seq % 50 GROUP BY 1, 2)
+    SELECT o.book, o.uid, CASE WHEN c.seq IS NULL THEN o.zid ELSE 1000000 + c.seq END AS zid FROM o LEFT JOIN c ON c.book = o.book AND c.uid = o.uid WHERE c.seq IS NULL OR c.seq % 7 <> 0
+""")
+def owners_as_of(spark, sf_dir):
+    """Owners of lines after all edits, undos and redos: orders stand for lines, events for what people did."""
+    done = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "redo").otherwise("edit")
+    actions = table(spark, sf_dir, "events", "event_id", "user_id", "event_type").select(F.col("user_id").alias("book"), F.col("event_id").alias("seq"), done.alias("action"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    base = orders.select((F.col("o_custkey") % 150).alias("book"), F.col("o_orderkey").alias("uid"), F.floor(F.col("o_orderkey") / 4).alias("zid"))
+    edits = actions.where("action = 'edit'").select(F.col("book").alias("_b"), "seq")
+    made = base.join(edits, (F.col("book") == F.col("_b")) & (F.col("uid") % 50 == F.col("seq") % 50))
+    changes = made.select("seq", "book", "uid", (F.col("seq") % 7 == 0).alias("gone"), F.struct((F.lit(1000000) + F.col("seq")).alias("zid")).alias("state"))
+    return zones.as_of(base, changes, actions, ["book", "uid"])
