@@ -477,29 +477,60 @@ def test_warc_edges(spark):
     assert rows(warc.archived(df.limit(0))) == []
 
 
-def test_warc_files_are_bounded_in_bytes(spark, monkeypatch):
-    """Large pages go to files of fewer records, and all are read back."""
-    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
-    monkeypatch.setattr(warc, "PER_FILE", 20)
-    pages = [(i, "u", chr(97 + i % 26) * n) for i, n in enumerate([0, 10, 900, 1100, 1900, 3000, 9000, 9000, 25_000, 60_000, *[700] * 60])]
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of a few hundred bytes, each in a task of its own."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {n: spark.conf.get(n, None) for n in names}
+
+    def held(size: int) -> None:
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], str(size))
+        spark.conf.set(names[2], "1")
+
+    yield held
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_warc_over_splits(spark, small_splits):
+    """One file in many splits: marks in payloads, at borders and over them, and records longer than splits."""
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    nested = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: 5\r\n\r\nab{i % 10}de\r\n\r\n" for i in range(12))
+    r = random.Random(9)
+    parts = ["x" * 7, "WARC/1.1\r\n", fake, fake[:-1], "WARC", "\r\n\r\n", "é" * 20, nested, "y" * 900, ""]
+    pages = [(i, "http://a/WARC/1.1" if i % 7 == 0 else "u", "".join(r.choice(parts) for _ in range(r.randint(0, 5)))) for i in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
     path = new_path(spark, "test-warc")
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
     warc.write(df, path)
-    files = rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).selectExpr("length", "cast(content as string) as c"))
-    assert all(r["length"] < 2 * 20_000 or r["c"].count("WARC/1.1") == 1 for r in files)
-    got = {r["page_id"]: r["payload_bytes"] for r in rows(warc.read(spark, path))}
-    assert got == {i: len(h) for i, _, h in pages}
-
-
-def test_warc_damage():
-    with pytest.raises(ValueError):
-        list(warc.records(b"no record"))
-    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
-    assert len(list(warc.records(record * 3))) == 3
-    with pytest.raises(ValueError):
-        list(warc.records(record * 2 + record[:-6]))
-    with pytest.raises(ValueError):
-        list(warc.records(record.replace(b"5", b"4") * 2))
+    count = Counter(h for *_, h in pages)
+    most = {h: max(i for i, _, x in pages if x == h) for h in count}
+    want = sorted((i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "revisit" if len(h.encode()) >= 1000 and most[h] != i else "response") for i, _, h in pages)
+    for size in (700, 1 << 30):
+        small_splits(size)
+        got = warc.read(spark, path)
+        assert sorted((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"]) for x in got.collect()) == want, size
+    small_splits(2000)
+    blocks = {x["record_id"]: (x["url"], bytes(x["block"])) for x in warc.read_payloads(spark, path).collect()}
+    for i, url, html in pages:
+        said, block = blocks[f"<urn:page:{i}>"]
+        assert said == url.replace("/WARC/1.1", "/%57ARC/1.1") and (block.endswith(b"\r\n\r\n" + html.encode()) or most[html] != i)
+
+
+def test_warc_damage(spark, small_splits, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    files = {"good": record * 3, "empty": b"", "none": b"no record", "short": record * 2 + record[:-6], "wrong": record.replace(b"5", b"4") * 2, "long": record.replace(b"5", b"9") * 2, "tail": record * 2 + b"WARC/1.1\r\n", "more": record + b"more"}
+    for name, content in files.items():
+        small_splits(100 if name in ("good", "wrong", "tail") else 1 << 20)
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.txt").write_bytes(content)
+        read = lambda: [bytes(x["block"]) for x in warc.read_payloads(spark, f"file://{folder}").collect()]  # noqa: B023, E731
+        if name in ("good", "empty"):
+            assert read() == [b"abcde"] * (3 if name == "good" else 0)
+        else:
+            with pytest.raises(Exception, match="record"):
+                read()
 
 
 # 8
