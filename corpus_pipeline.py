@@ -29,10 +29,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, five words' shingles alike by 0.8 or more, the document with the smallest id; documents
-    without an id stay."""
-    groups = simhash.near_copies(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    without an id stay. Rows that repeat an id are told apart by their text, so that unlike ones stay."""
+    keyed = docs.select(*COLUMNS).withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text"))))
+    groups = simhash.near_copies(keyed, id_col="_row")
+    gone = groups.where("_row <> component_id").select(F.col("_row").alias("_gone"))
+    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
