@@ -577,6 +577,22 @@ def test_chat_layouts(spark):
     assert [(r["role"], r["text"]) for r in sorted(rows(chat.canonical(nested)), key=lambda r: r["turn"])] == same
     with pytest.raises(ValueError):
         chat.turns_of({"nothing": "known"})
+    both = {"messages": [], "prompt": "q", "response": "a", "id": 3}
+    assert chat.turns_of(both) == [("user", "q"), ("assistant", "a")] and chat.turns_of({"messages": [], "system": "s"}) == [("system", "s")] and chat.turns_of({"messages": [], "lang": "en"}) == []
+    with pytest.raises(ValueError):
+        chat.turns_of({"messages": [], "nothing": "known"})
+    parts = [{"type": "text", "text": "a "}, {"type": "text", "text": "b"}]
+    tool = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "tool_calls": [{"id": 1, "function": {"arguments": "x"}}]}]}
+    assert chat.turns_of({"messages": [{"role": "user", "content": parts}]}) == [("user", "a b")] and chat.turns_of(tool) == [("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError, match="isn't text"):
+        chat.turns_of({"messages": [{"role": "user", "content": [{"type": "image", "text": "x"}]}]})
+    for extra in ("lang", "unknown", "n"):
+        table = spark.createDataFrame([(1, 0, "user", "hi", "z")], f"conv_id long, turn long, role string, text string, {extra} string")
+        assert [tuple(r) for r in chat.canonical(table).collect()] == [(1, 0, "user", "hi")]
+    typed = spark.createDataFrame([(1, [("user", [("text", "a"), ("text", "b")])])], "conv_id long, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>")
+    assert [tuple(r) for r in chat.canonical(typed).collect()] == [(1, 0, "user", "ab")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical(spark.createDataFrame([(1, "a", "b", "c", "d")], "conv_id long, prompt string, response string, question string, answer string"))
 
 
 def test_chat_records_of_odd_kinds(spark):

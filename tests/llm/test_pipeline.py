@@ -68,6 +68,15 @@ def test_planted_copies(spark, sf):
     assert len(linked) >= 4 and not near & linked and base in near
 
 
+def test_near_stage_keeps_unlike_rows_of_one_id(spark, sf):
+    """A row goes for its own text, not for another one of its id."""
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, long, "en", "s", 1), (2, long + " more", "en", "s", 1), (2, "a text of its own that nobody else has here", "en", "s", 1), (3, " ".join(f"other{i}" for i in range(50)), "en", "s", 1), (None, long, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, sf)
+    assert got.columns == corpus_pipeline.COLUMNS and sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t, *_ in [rows[0], rows[2], rows[3], rows[4]])
+
+
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and set(rows[0].asDict()) >= {"doc_id", "piece", "sequence_id", "offset", "length"}

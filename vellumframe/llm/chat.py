@@ -103,6 +103,12 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 BESIDE = ("conv_id", "id", "source", "lang")
 
 
+#: The paths of each layout, by which a table with columns beside them is told.
+LAYOUTS = [["conv_id", "turn", "role", "text"], *[[f"{a}.{r}", f"{a}.{t}"] for a, r, t in _LIST], *[["system", f"{a}.{r}", f"{a}.{t}"] for a, r, t in _LIST], *[[p for _, p in flat] for flat in _FLAT]]
+LAYOUTS += [[f"{a}.{r}", f"{a}.{t}[].type", f"{a}.{t}[].text"] for a, r, t in _LIST]
+MAPPINGS |= {fingerprint([f"{a}.{r}", f"{a}.{t}[].type", f"{a}.{t}[].text"]): ("list", a[:-2], r, t) for a, r, t in _LIST}
+
+
 def mapping_of(paths) -> tuple:
     """The mapping of a layout, its fields beside included or not. Raises for an unknown layout."""
     paths = set(paths)
@@ -112,8 +118,24 @@ def mapping_of(paths) -> tuple:
     raise ValueError(f"no mapping for the layout {sorted(paths)}")
 
 
+def table_mapping(paths) -> tuple:
+    """The mapping of a table: that of its layout, else of the largest layout that its columns hold; others are beside it. Raises
+    where there is none, or two of a size."""
+    try:
+        return mapping_of(paths)
+    except ValueError:
+        held = sorted((x for x in LAYOUTS if set(x) <= set(paths)), key=len)
+        if not held or len(held) > 1 and len(held[-1]) == len(held[-2]):
+            raise
+        return MAPPINGS[fingerprint(held[-1])]
+
+
 def _said(value) -> str:
-    """Text as it is, null as nothing, any other JSON value as JSON."""
+    """Text as it is, null as nothing, parts of text joined, any other JSON value as JSON. Raises for a part that isn't text."""
+    if isinstance(value, list) and value and all(isinstance(x, dict) and "type" in x for x in value):
+        if not all(x["type"] == "text" and isinstance(x.get("text"), str) for x in value):
+            raise ValueError("a part that isn't text")
+        return "".join(x["text"] for x in value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
@@ -122,23 +144,27 @@ SPARE = ("name", "score", "id", "weight", "tool_calls", "timestamp", "model")
 
 
 def _layout(value) -> tuple:
-    """The mapping of a JSON record: by all its paths, else without those that end in a spare field."""
+    """The mapping of a JSON record: by all its paths, else without those through a spare field."""
     paths = value_paths(value)
     try:
         return mapping_of(paths)
     except ValueError:
-        return mapping_of(p for p in paths if p.rsplit(".", 1)[-1] not in SPARE)
+        return mapping_of(p for p in paths if not any(x.removesuffix("[]") in SPARE for x in p.split(".")))
 
 
 def turns_of(value) -> list[tuple[str, str]]:
     """Canonical (role, text) turns of a JSON record. A list stands for the messages of a record; a known list without elements
-    has no turns. Raises ValueError for a layout without a mapping and for a turn without a role."""
+    has no turns, but what another layout holds beside it counts. Raises ValueError for a layout without a mapping and for a turn without a role."""
     if isinstance(value, list):
         value = {"messages": value}
     if not isinstance(value, dict):
         raise ValueError("not a record")
-    if any(value.get(a[:-2]) == [] for a, _, _ in _LIST):
-        return []
+    empty = [a[:-2] for a, _, _ in _LIST if value.get(a[:-2]) == []]
+    if empty:  # another layout may be filled beside the empty list
+        value = {k: v for k, v in value.items() if k not in empty}
+        rest = {k: v for k, v in value.items() if k not in (*BESIDE, *SPARE)}
+        if set(rest) <= {"system"}:
+            return [("system", _said(rest["system"]))] if rest.get("system") else []
     kind, *rest = _layout(value)
     if kind == "list":
         array, role, text, *system = rest
@@ -191,15 +217,19 @@ def rejected(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, turn, role, text) of a table, by the mapping that its schema's fingerprint selects."""
-    kind, *rest = mapping_of(schema_paths(df.schema))
+    """(id, turn, role, text) of a table, by the mapping that its schema's fingerprint selects; columns beside a known layout aren't
+    read. Raises for a table that holds none, or two of a size. Parts of a turn that aren't text stop the job."""
+    kind, *rest = table_mapping(schema_paths(df.schema))
     known = lambda role: F.coalesce(*[F.when(role == k, v) for k, v in ROLES.items()], role)
     if kind == "rows":
         own, turn, role, text = rest
         return df.select(F.col(own).alias(id_col), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     if kind == "list":
         array, role, text, *system = rest
-        rows = df.select(id_col, F.posexplode(array).alias("turn", "_x")).select(id_col, F.col("turn").cast("long"), known(F.col("_x")[role]).alias("role"), F.col("_x")[text].alias("text"))
+        parted = any(p.startswith(f"{array}[].{text}[]") for p in schema_paths(df.schema))
+        part = lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.raise_error(F.lit("a part that isn't text")).cast("string"))
+        said = lambda x: F.array_join(F.transform(x, part), "") if parted else x
+        rows = df.select(id_col, F.posexplode(array).alias("turn", "_x")).select(id_col, F.col("turn").cast("long"), known(F.col("_x")[role]).alias("role"), said(F.col("_x")[text]).alias("text"))
         return rows if not system else rows.union(df.where(F.col(system[0]) != "").select(id_col, F.lit(-1).cast("long"), F.lit("system"), F.col(system[0])))
     texts: list[tuple[str, list[Column]]] = []
     for role, path in rest[0]:
