@@ -17,6 +17,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vellumframe.llm.work import handed_back
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -267,4 +269,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
                 cols[j] = pa.array([None if t is None else len(t) for t in texts], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(handed_back(run), df.schema)

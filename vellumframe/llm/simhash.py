@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumframe.llm.components import components
-from vellumframe.llm.work import cut
+from vellumframe.llm.work import cut, handed_back
 
 SEED = 42
 #: Fingerprints link at so many differing bits; the covering below is made for it.
@@ -287,7 +287,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), lists], ["id", "fp", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, fp long, keys array<long>")
+    return docs.mapInArrow(handed_back(run), f"id {kind}, fp long, keys array<long>")
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     # Of rows that repeat an id, that with the longest text counts.
     texts = docs.join(wanted.distinct().hint("merge"), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    return cut(texts.mapInArrow(run, f"id {kind}, members array<long>"), "sets")
+    return cut(texts.mapInArrow(handed_back(run), f"id {kind}, members array<long>"), "sets")
 
 
 def _alike(sets: DataFrame, candidates: DataFrame, least: float) -> DataFrame:

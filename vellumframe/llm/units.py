@@ -27,7 +27,7 @@ _WHITE2 = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _POINTS) + "]"
 _ELSEWHERE = f"{_WHITE2}[ \\n](?:{_WHITE2}|\\z)|[\\x00\\x01]"
 _MARK = "([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])( |\\z)"
 #: Bytes of text whose units are held at once; units, and characters of them, that a worker remembers.
-GROUP, UNITS, CHARS = 8 << 20, 600_000, 16 << 20
+GROUP, UNITS, CHARS = 3 << 20, 450_000, 12 << 20
 
 
 def slices(text: str) -> Iterator[str]:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +36,19 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def handed_back(run: Callable) -> Callable:
+    """A function of Arrow batches after whose last batch the worker gives the memory that it no longer uses back to the system:
+    workers live on, and a later task would otherwise stand beside what an earlier one took."""
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return held
