@@ -178,7 +178,7 @@ _TOC = "CASE p_partkey * 7 % 11 WHEN 0 THEN concat('Chapter ', p_partkey, ' ', p
     m AS (SELECT book, run - 1 AS run, string_agg(text, ' ' ORDER BY ord) AS authors FROM c WHERE part = -1 GROUP BY ALL)
     SELECT e.book, e.ord, CASE WHEN paged = 1 AND starts_with(first, 'SECTION OF ') THEN 'SECTION OF' WHEN paged = 1 AND k = 0 AND first = '' THEN concat('Chapter ', key) END AS label,
            concat_ws(' ', CASE WHEN paged = 0 THEN text WHEN k = 0 AND first = '' THEN last_name ELSE trim(concat(CASE WHEN starts_with(first, 'SECTION OF ') THEN substr(first, 12) ELSE first END, ' ', CASE WHEN k = 0 THEN concat('Chapter ', key, ' ', last_name) ELSE last_name END)) END, CASE WHEN paged = 1 THEN m.authors END) AS title,
-           CASE WHEN paged = 1 THEN CAST(key % 900 + 1 AS VARCHAR) END AS page, CAST((x - 50) // 20 AS INTEGER) AS level
+           CASE WHEN paged = 1 THEN CAST(key % 900 + 1 AS VARCHAR) END AS page, CAST(dense_rank() OVER (PARTITION BY e.book ORDER BY x) - 1 AS INTEGER) AS level
     FROM e LEFT JOIN m ON e.book = m.book AND e.run = m.run
 """)
 def toc_parse(spark, sf_dir):
