@@ -118,3 +118,14 @@ def test_continued_many_of_one_key(spark):
     began = time.time()
     linked = TB.continued(df, ["book"])
     assert linked.where("at = head").count() == 20_001 and linked.where("first_row > 0").count() == 19_999 and time.time() - began < 60
+
+
+def test_rules_move_segments_once(spark):
+    """Repeated segments are left out where they are sorted: no exchange of their own, and no sort for the last aggregate."""
+    rows = [(1, 0.0, 10.0, 50.0, 10.4, True, "l")] * 3 + [(1, 60.0, 10.0, 40.0, 10.4, True, "l")] * 2
+    df = spark.createDataFrame(rows, f"page int, {BOX}, hline boolean, kinds string")
+    ruled = TB.rules(df, ["page"])
+    assert got(ruled, "x0", "x1", "y") == [(0.0, 50.0, 10.2), (60.0, 40.0, 10.2)]
+    plan = ruled._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellumframe.operators import align, pages, tables, tree, zones
 from vellumframe.operators import lines as building
 from vellumframe.plans.catalogue import SQL_LINES, lines, query, table
+from vellumframe.shared import dealt
 
 _SPANS = """SELECT l_orderkey // 4 AS page, l_orderkey % 4 * 8 + l_linenumber AS frag, CAST(l_partkey % 40 * 5 AS DOUBLE) AS x0, 12.0 * (1 + l_suppkey % 6) + l_linenumber % 4 * 0.5 - size AS y0,
     CAST(l_partkey % 40 * 5 + 5 + l_suppkey % 30 AS DOUBLE) AS x1, 12.0 * (1 + l_suppkey % 6) + l_linenumber % 4 * 0.5 AS y1, size, CASE l_linenumber % 3 WHEN 0 THEN '1.' WHEN 1 THEN 'word ' ELSE l_returnflag END AS text
@@ -120,7 +121,7 @@ def _rules(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     x0, y0, fifth = (F.col("l_partkey") % 3 * 100).cast("double"), F.col("l_suppkey") % 12 * 30 + F.col("l_linenumber") % 2 * 0.5, F.col("l_linenumber") % 5
     drawn = item.select(F.floor(F.col("l_orderkey") / 16).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 60 + F.col("l_quantity")).alias("x1"), (y0 + F.when(fifth == 0, 29).otherwise(1)).alias("y1"), (fifth > 1).alias("hline"), F.when(fifth == 2, "l").otherwise("re").alias("kinds"))
-    return tables.rules(drawn, ["page"])
+    return tables.rules(dealt(drawn, item.count(), "page"), ["page"])
 
 
 @query(f"WITH {_JOINED} SELECT page, x0, x1, y FROM r")
