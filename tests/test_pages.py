@@ -48,3 +48,31 @@ def test_tabs_and_report(spark):
     assert [r["i"] for r in df.where(pages.side_tab(b, F.col("v"), F.col("t"), clip)).collect()] == [1, 3]
     states = spark.createDataFrame([(i, "PASS" if i % 2 else "ERROR") for i in range(900)], "page int, status string")
     assert [r["page"] for r in pages.page_report(states, ["page"]).collect()] == list(range(0, 600, 2))
+
+
+def test_contexts_of_many_move_rows_once(spark):
+    """Nested holders and repeated links in several documents, against all pairs; events are exchanged once."""
+    import random
+
+    r, data = random.Random(3), []
+    for d in ("p", "q", None):
+        open_, made = [], []
+        for pre in range(200):
+            while open_ and r.random() > 0.7:
+                made[open_.pop()][2] = pre - 1
+            made.append([d, pre, pre, r.choice(["ref", "fn", "caption", "boxed-text", "xref", "xref", "p"])])
+            open_.append(pre)
+        for i in open_:
+            made[i][2] = 199
+        data += [tuple(x) for x in made] + [tuple(x) for x in made if x[3] == "xref"][:5]
+    names = {"ref": "reference", "fn": "footnote", "caption": "caption", "boxed-text": "sidebar"}
+    want = set()
+    for d, pre, _, tag in data:
+        if tag == "xref":
+            around = {t for d2, a, b, t in data if d2 == d and a < pre <= b}
+            want.add((str(d), pre, next((names[t] for t in names if t in around), "body")))
+    found = pages.contexts(spark.createDataFrame(data, "doc string, pre int, last int, tag string"), "doc")
+    assert sorted((str(x["doc"]), x["pre"], x["context"]) for x in found.collect()) == sorted(want) and dict(found.dtypes)["pre"] == "int"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumframe.functions import text as T
-from vellumframe.operators import ordered, tree
+from vellumframe.operators import ordered
+from vellumframe.shared import dealt, written
 
 #: Tolerance of the trim, the outer share of a page where side tabs stand, shares of matched words of a line,
 #: rows of a page report, and the pages and zone in which a file's first printed number is looked for.
@@ -53,11 +54,29 @@ def contexts(dom: DataFrame, doc: str, tag: str = "xref") -> DataFrame:
     rank = F.lit(None).cast("int")
     for i, (_, tags) in reversed(list(enumerate(CONTEXTS))):
         rank = F.when(F.col("tag").isin(*tags), i).otherwise(rank)
-    holders = dom.select(doc, rank.alias("_rank"), "pre", "last").where("_rank is not null")
-    asked = dom.where(F.col("tag") == tag).select(doc, "pre", F.explode(F.array(*[F.lit(i) for i in range(len(CONTEXTS))])).alias("_rank"))
-    found = tree.around(asked, holders, [doc, "_rank"], "_n")
-    first = found.groupBy(doc, "pre").agg(F.min(F.when(F.col("_n") > 0, F.col("_rank"))).alias("_first"))
-    return first.select(doc, "pre", F.coalesce(F.get(F.array(*[F.lit(name) for name, _ in CONTEXTS]), "_first"), F.lit("body")).alias("context"))
+    # Beginnings and ends of holders and what is asked for stand in one order; a running count for each rank tells what is open. It
+    # runs over buckets of the order, and what is open where a bucket begins is one more row of it, so rows are moved once.
+    spans = dom.select(doc, rank.alias("_rank"), "pre", "last").where("_rank is not null").groupBy(doc, "_rank", "pre").agg(F.max("last").alias("last"))
+    edge = lambda order, kind, step: F.struct(order.cast("long").alias("_order"), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"))
+    edges = spans.select(doc, "_rank", F.inline(F.array(edge(2 * F.col("pre"), 1, 1), edge(2 * F.col("last") + 1, 2, -1))))
+    asked = dom.where(F.col("tag") == tag).select(doc, F.lit(None).cast("int").alias("_rank"), (2 * F.col("pre")).cast("long").alias("_order"), F.lit(0).alias("_kind"), F.lit(0).alias("_step"))
+    events = written(asked.unionByName(edges), "contexts")
+    rows = events.withColumn("_bucket", ordered.bucket(F.col("_order"), ordered.cuts(events, "_order")))
+    ranks = [f"_{i}" for i in range(len(CONTEXTS))]
+    steps = [F.when(F.col("_rank") == i, F.col("_step")).otherwise(0).cast("long").alias(c) for i, c in enumerate(ranks)]
+    rows = rows.select(doc, "_bucket", "_order", "_kind", *steps)
+    earlier = Window.partitionBy(doc).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(doc, "_bucket").agg(*[F.sum(c).alias(c) for c in ranks])
+    base = sums.select(doc, "_bucket", F.lit(None).cast("long").alias("_order"), F.lit(-1).alias("_kind"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ranks])
+    placed = dealt(rows.unionByName(base), events.count(), doc, "_bucket")
+    at = Window.partitionBy(doc, "_bucket").orderBy(F.col("_order").asc_nulls_first(), "_kind")
+    open_ = at.rowsBetween(Window.unboundedPreceding, 0)
+    again = F.lag("_kind").over(at).eqNullSafe(F.lit(0)) & F.lag("_order").over(at).eqNullSafe(F.col("_order"))
+    found = placed.select(doc, "_order", "_kind", again.alias("_again"), *[F.sum(c).over(open_).alias(c) for c in ranks]).where("_kind = 0 and not _again")
+    context = F.lit("body")
+    for c, (name, _) in reversed(list(zip(ranks, CONTEXTS, strict=True))):
+        context = F.when(F.col(c) > 0, name).otherwise(context)
+    return found.select(doc, F.expr("_order div 2").cast(dom.schema["pre"].dataType).alias("pre"), context.alias("context"))
 
 
 def marks(targets: DataFrame, lines: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def link_contexts(spark, sf_dir):
     holders = _nested(spark, sf_dir).where("pre % 32 = 0").select("doc", "pre", "last", tag.alias("tag"))
     item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     pre = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    links = item.select(F.floor(F.col("l_orderkey") / 1024).alias("doc"), pre.alias("pre"), pre.alias("last"), F.lit("xref").alias("tag")).distinct()
+    links = item.select(F.floor(F.col("l_orderkey") / 1024).alias("doc"), pre.alias("pre"), pre.alias("last"), F.lit("xref").alias("tag"))
     return pages.contexts(holders.unionByName(links), "doc")
 
 
