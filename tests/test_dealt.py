@@ -26,3 +26,13 @@ def test_word_overlap_moves_texts_once(spark, sf, small):
     df = catalogue.word_overlap_pr(spark, sf)
     assert "hashpartitioning(doc_id" in plan(df) and plan(df).count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan(df)
     assert catalogue.texts(spark, sf, "doc_id", "text").rdd.getNumPartitions() == 4
+
+
+def test_running_values_move_rows_once(spark):
+    """Without a join of rows with the sums of their buckets."""
+    df = spark.createDataFrame([("a", i, i % 7, f"x{i}") for i in range(300)] + [(None, i, 1, None) for i in range(20)], "k string, o long, v long, other string")
+    for how, want in (("sum", lambda x: sum(x)), ("max", lambda x: max(x, default=None)), ("last", lambda x: x[-1] if x else None)):
+        found = ordered.running_before(df, ["k"], "o", "v", "_n", how)
+        assert "Join" not in plan(found) and found.columns == [*df.columns, "_n"]
+        rows = {(r["k"], r["o"]): (r["v"], r["_n"], r["other"]) for r in found.collect()}
+        assert len(rows) == 320 and all(n == want([rows[k, i][0] for i in range(o)]) for (k, o), (_, n, _) in rows.items()) and rows["a", 5][2] == "x5"

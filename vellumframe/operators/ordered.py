@@ -49,11 +49,11 @@ def running_before(df: DataFrame, keys: list[str], order: str, value: str, name:
     whole = F.max_by(value, F.struct(order, *ties)) if how == "last" else over
     sums = rows.groupBy(*keys, "_bucket").agg(whole.alias("_all"))
     base = {"sum": F.sum, "max": F.max, "last": F.last}[how]("_all").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    above = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bucket").alias("_of_bucket"), F.coalesce(base, first).alias("_base"))
-    own = over.over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("_own", F.coalesce(own, first)).join(above, same_bucket(keys))
-    both = {"sum": F.col("_own") + F.col("_base"), "max": F.greatest("_own", "_base"), "last": F.coalesce("_own", "_base")}[how]
-    return placed.withColumn(name, both).drop("_bucket", "_of_bucket", "_own", "_base", *[f"_of_{k}" for k in keys])
+    # What lies before a bucket is one more row, at its head: rows are moved once, and not joined.
+    above = sums.select(*keys, "_bucket", F.lit(0).alias("_row"), F.coalesce(base, first).alias("_step"))
+    both = rows.withColumn("_row", F.lit(1)).withColumn("_step", F.col(value)).unionByName(above, allowMissingColumns=True)
+    own = {"sum": F.sum, "max": F.max, "last": F.last}[how]("_step").over(Window.partitionBy(*keys, "_bucket").orderBy("_row", order, *ties).rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn(name, F.coalesce(own, first)).where("_row = 1").drop("_bucket", "_row", "_step")
 
 
 def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, like: DataFrame | None = None) -> DataFrame:
