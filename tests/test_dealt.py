@@ -36,3 +36,10 @@ def test_running_values_move_rows_once(spark):
         assert "Join" not in plan(found) and found.columns == [*df.columns, "_n"]
         rows = {(r["k"], r["o"]): (r["v"], r["_n"], r["other"]) for r in found.collect()}
         assert len(rows) == 320 and all(n == want([rows[k, i][0] for i in range(o)]) for (k, o), (_, n, _) in rows.items()) and rows["a", 5][2] == "x5"
+
+
+def test_page_coverage_reads_words_from_a_written_table(spark, sf, small, monkeypatch):
+    made = []
+    monkeypatch.setattr(fixtures, "written", lambda df, kind: made.append(plan(df)) or catalogue.written(df, kind))
+    assert "RegExpExtractAll" not in plan(fixtures.page_coverage(spark, sf)) and len(made) == 1
+    assert made[0].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in made[0]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from vellumframe.functions import parsers as P
 from vellumframe.functions import text as T
 from vellumframe.operators import layout, lists, references, validate, words, zones
-from vellumframe.plans.catalogue import _SQL_BAGS, _SQL_LANG, SQL_LINES, _benchmark_words, lines, query, table
+from vellumframe.plans.catalogue import _SQL_BAGS, _SQL_LANG, SQL_LINES, _benchmark_words, lines, query, table, texts
+from vellumframe.shared import SHORT_TEXTS, dealt, written
 
 
 def literals(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -114,8 +115,10 @@ def language_parser(spark, sf_dir):
 """)
 def page_coverage(spark, sf_dir):
     """Coverage of pages' lines by another text's words; hyphenated line ends are carried (these documents have none)."""
-    pages = lines(spark, sf_dir).select(F.col("doc_id").alias("page"), "line_no", F.lit("body").alias("role"), F.col("line").alias("text"))
-    return validate.coverage(validate.page_words(pages), _benchmark_words(spark, sf_dir)).select("page", "words", "matched")
+    docs = texts(spark, sf_dir, "doc_id", "text")
+    pages = docs.select(F.col("doc_id").alias("page"), F.lit("body").alias("role"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    found = written(validate.page_words(pages), "words")
+    return validate.coverage(found, _benchmark_words(spark, sf_dir)).select("page", "words", "matched")
 
 
 @query("""
