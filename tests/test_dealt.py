@@ -43,3 +43,17 @@ def test_page_coverage_reads_words_from_a_written_table(spark, sf, small, monkey
     monkeypatch.setattr(fixtures, "written", lambda df, kind: made.append(plan(df)) or catalogue.written(df, kind))
     assert "RegExpExtractAll" not in plan(fixtures.page_coverage(spark, sf)) and len(made) == 1
     assert made[0].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in made[0]
+
+
+def test_language_is_dealt(spark, sf, small):
+    assert fixtures.language_parser(spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_vietnamese_is_looked_for_beyond_ascii(spark):
+    from pyspark.sql import functions as F
+
+    from vellumframe.functions.text import language_sql
+
+    df = spark.createDataFrame([("tôi đang học tiếng Việt ở trường",), ("plain letters and nothing else here",)], "text string")
+    assert [r[0] for r in df.select(F.expr(language_sql("text") + ".lang")).collect()] == ["vi", None]
+    assert "rlike(text" not in language_sql("text")

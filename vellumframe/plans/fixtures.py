@@ -105,7 +105,7 @@ def index_pages(spark, sf_dir):
 @query(f"WITH {_SQL_LANG} SELECT doc_id, CASE WHEN hits >= 3 AND n >= 20 THEN lang END AS lang FROM b")
 def language_parser(spark, sf_dir):
     """Language by script and stop words."""
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.expr(T.language_sql("text") + ".lang").alias("lang"))
+    return texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.expr(T.language_sql("text") + ".lang").alias("lang"))
 
 
 @query(f"""
