@@ -57,3 +57,8 @@ def test_vietnamese_is_looked_for_beyond_ascii(spark):
     df = spark.createDataFrame([("tôi đang học tiếng Việt ở trường",), ("plain letters and nothing else here",)], "text string")
     assert [r[0] for r in df.select(F.expr(language_sql("text") + ".lang")).collect()] == ["vi", None]
     assert "rlike(text" not in language_sql("text")
+
+
+def test_references_are_dealt_and_parsed_once(spark, sf, small):
+    df = fixtures.reference_fields(spark, sf)
+    assert df.rdd.getNumPartitions() == 4 and plan(df).count("ArrowEvalPython") == 1 and plan(df).split("ArrowEvalPython")[1].split("\n")[0].count("run(") == 1

@@ -58,9 +58,10 @@ _REF = "concat('Hanks SK, Hunter T. The ', p_name, '. FASEB J. ', 1900 + p_size,
 """)
 def reference_fields(spark, sf_dir):
     """Typed parts of references made of parts' names and numbers; names of persons and plain text are left out here."""
-    made = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", F.expr(_REF).alias("text"))
-    rows = made.select("p_partkey", F.from_json(P.reference_column(F.col("text")), "array<string>")[0].alias("type"), F.explode(P.reference_segments(F.col("text"))).alias("s"))
-    return rows.where("s.kind not in ('text', 'surname', 'given-names')").select("p_partkey", "type", F.col("s.kind").alias("kind"), F.col("s.text").alias("part"))
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    made = dealt(parts, parts.count(), "p_partkey", each=SHORT_TEXTS).select("p_partkey", F.expr(_REF).alias("text"))
+    rows = made.select("p_partkey", F.explode(P.reference_typed(F.col("text"))).alias("s"))
+    return rows.where("s.kind not in ('text', 'surname', 'given-names')").select("p_partkey", "s.type", F.col("s.kind").alias("kind"), F.col("s.text").alias("part"))
 
 
 @query(f"SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^\\s*({layout.LABELS['fig']})\\s*({layout.NUMBER})') THEN 'fig' WHEN regexp_matches(line, '^\\s*({layout.LABELS['table']})\\s*({layout.NUMBER})') THEN 'table' ELSE 'box' END AS kind FROM (SELECT doc_id, line_no, line FROM ({SQL_LINES}) UNION ALL {values([(-1, 0, 'Figure 3.7 A heart'), (-1, 1, 'TABLA 2 Datos'), (-1, 2, 'Cuadro 1-1'), (-1, 3, 'Figures are fun')], 'doc_id, line_no, line')}) WHERE regexp_matches(line, '^\\s*(({layout.LABELS['fig']})|({layout.LABELS['table']})|({layout.LABELS['box']}))\\s*({layout.NUMBER})')")
