@@ -62,3 +62,8 @@ def test_vietnamese_is_looked_for_beyond_ascii(spark):
 def test_references_are_dealt_and_parsed_once(spark, sf, small):
     df = fixtures.reference_fields(spark, sf)
     assert df.rdd.getNumPartitions() == 4 and plan(df).count("ArrowEvalPython") == 1 and plan(df).split("ArrowEvalPython")[1].split("\n")[0].count("run(") == 1
+
+
+def test_citations_of_documents_get_batches_of_a_bounded_size(spark, sf, small):
+    df = fixtures.document_citations(spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(df) and plan(df).count("Exchange hashpartitioning") == 1

@@ -45,7 +45,7 @@ def citations_spans(spark, sf_dir):
 """)
 def document_citations(spark, sf_dir):
     """Citations in all documents: this prose has numbers in parentheses, and no other form."""
-    found = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(P.citation_column(F.col("text"))).alias("c"))
+    found = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(P.citation_column(F.col("text"))).alias("c"))
     return found.groupBy("doc_id", F.col("c.kind").alias("kind"), F.col("c.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
