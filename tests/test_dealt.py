@@ -66,4 +66,13 @@ def test_references_are_dealt_and_parsed_once(spark, sf, small):
 
 def test_citations_of_documents_get_batches_of_a_bounded_size(spark, sf, small):
     df = fixtures.document_citations(spark, sf)
-    assert "REPARTITION_BY_NUM" in plan(df) and plan(df).count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(doc_id" in plan(df) and "REPARTITION_BY_NUM" in plan(df)
+
+
+def test_citations_of_every_line_item_have_spans(spark, sf):
+    """All rows, those alike too, and all forms: ranges, chapters, appendices and techniques, with where they stand."""
+    df = fixtures.citations_spans(spark, sf)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert df.columns == ["l_orderkey", "l_linenumber", "kind", "key", "start_at", "end_at"] and df.count() == n * 12
+    kinds = {r["kind"]: r["n"] for r in df.groupBy("kind").agg({"*": "count"}).toDF("kind", "n").collect()}
+    assert kinds == {"fig": 5 * n, "chapter": n, "table": n, "table-or-box": n, "app": n, "bibr": 2 * n, "bibr-paren": n}

@@ -23,20 +23,40 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) t({columns})"
 
 
-_CITED = "concat('see Figs. ', l_suppkey % 30, '-', l_linenumber, ', ', l_suppkey % 30, '-', l_linenumber + 2, ' and ', l_suppkey % 30, '-', l_linenumber + 5, '; tabla ', l_partkey % 50, ' y cuadro ', l_linenumber, ', known [', l_linenumber, ', 9] or (4).')"
+#: What stands before a citation, the citation, its kind and its key, in SQL of a line item's numbers. What stands before the last is
+#: a form that is none.
+_CITES = [
+    ("'see '", "concat('Figs. ', s, '-', n)", "fig", "concat(s, '-', n)"),
+    ("', '", "concat(s, '-', n + 2)", "fig", "concat(s, '-', n + 2)"),
+    ("' and '", "concat(s, '-', n + 5)", "fig", "concat(s, '-', n + 5)"),
+    ("'; '", "concat('Figuras ', s, '-', n, ' a ', s, '-', n + 3)", "fig", "concat(s, '-', n)"),
+    ("'; '", "concat('Chapters ', n, '-', n + 2)", "chapter", "concat(n, '-', n + 2)"),
+    ("'; '", "concat('tabla ', p)", "table", "concat(p, '')"),
+    ("' y '", "concat('cuadro ', n)", "table-or-box", "concat(n, '')"),
+    ("'; '", "concat('Appendix ', substr('ABCDEFG', n, 1))", "app", "substr('ABCDEFG', n, 1)"),
+    ("'; known ['", "concat(n, '')", "bibr", "concat(n, '')"),
+    ("', '", "'9'", "bibr", "'9'"),
+    ("'] or ('", "'4'", "bibr-paren", "'4'"),
+    ("') not f(5); '", "concat('fig. técnica 1.', s, '.', n)", "fig", "concat('T1-', s, '-', n)"),
+]
+_CITED = f"concat({', '.join(f'{before}, {said}' for before, said, _, _ in _CITES)}, '.')"
+_CITE_PARTS = ", ".join(f"{{'before': {before}, 'said': {said}, 'kind': '{kind}', 'key': {key}}}" for before, said, kind, key in _CITES)
 
 
 @query(f"""
-    WITH t AS (SELECT DISTINCT l_suppkey % 30 AS s, l_linenumber AS n, l_partkey % 50 AS p, {_CITED} AS text FROM lineitem)
-    SELECT text, unnest([{{'kind': 'fig', 'key': concat(s, '-', n)}}, {{'kind': 'fig', 'key': concat(s, '-', n + 2)}}, {{'kind': 'fig', 'key': concat(s, '-', n + 5)}}, {{'kind': 'table', 'key': CAST(p AS VARCHAR)}}, {{'kind': 'table-or-box', 'key': CAST(n AS VARCHAR)}},
-        {{'kind': 'bibr', 'key': CAST(n AS VARCHAR)}}, {{'kind': 'bibr', 'key': '9'}}, {{'kind': 'bibr-paren', 'key': '4'}}], recursive := true) FROM t
+    WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 30 AS s, l_linenumber AS n, l_partkey % 50 AS p FROM lineitem),
+    c AS (SELECT l_orderkey, l_linenumber, [{_CITE_PARTS}] AS parts FROM t),
+    b AS (SELECT l_orderkey, l_linenumber, parts[i] AS part, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x.before) + length(x.said))), 0) + length(parts[i].before) AS start_at FROM c, range(1, {len(_CITES) + 1}) r(i))
+    SELECT l_orderkey, l_linenumber, part.kind AS kind, part.key AS key, CAST(start_at AS INT) AS start_at, CAST(start_at + length(part.said) AS INT) AS end_at FROM b
 """)
 def citations_spans(spark, sf_dir):
-    """Citations of several forms in one sentence, whose numbers are those of line items; each stands in the text where it says."""
-    item = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_partkey").select(F.expr(_CITED).alias("text")).distinct()
-    found = item.select("text", F.explode(P.citation_column(F.col("text"))).alias("c"))
-    there = F.substr("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
-    return found.where(F.endswith(there, F.element_at(F.split("c.key", "-"), -1))).select("text", "c.kind", "c.key")
+    """Citations of all forms, and where they stand, in a sentence for each line item. Sentences that are alike are parsed once."""
+    item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    made = item.selectExpr("l_orderkey", "l_linenumber", "l_suppkey % 30 AS s", "l_linenumber AS n", "l_partkey % 50 AS p").select("l_orderkey", "l_linenumber", F.expr(_CITED).alias("text"))
+    said = made.select(F.col("text").alias("_text")).distinct()
+    found = written(said.select("_text", P.citation_column(F.col("_text")).alias("_cites")), "citations")
+    rows = made.join(found, F.col("text") == F.col("_text")).select("l_orderkey", "l_linenumber", F.explode("_cites").alias("c"))
+    return rows.select("l_orderkey", "l_linenumber", "c.kind", "c.key", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"))
 
 
 @query("""
