@@ -25,8 +25,8 @@ class Encoder(Remembered):
     """Ids of whole texts. Names of added tokens, special ones among them, are read as these tokens, as the library does
     unless told otherwise."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, limits: tuple[int, int, int] | None = None):
+        super().__init__(limits)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,6 +108,6 @@ class Encoder(Remembered):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limits: tuple[int, int, int] | None = None) -> Encoder:
     """The encoder of a vocabulary file; a worker that runs several tasks keeps it, with what it remembers."""
-    return Encoder(path)
+    return Encoder(path, limits)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vellumframe.llm.ids import encoder
 from vellumframe.llm.ordered import starts
-from vellumframe.llm.units import row_groups
+from vellumframe.llm.units import AMPLE, row_groups
 from vellumframe.llm.work import cut, new_path
 
 #: A chunk ends where the hash of the last WINDOW ids has its low CUT_BITS bits zero, and after MOST ids at the latest.
@@ -116,10 +116,10 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: st
     kind = df.select(id_col).schema[0].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sent = encoder(vocabulary), set()
+        encode, sent = encoder(vocabulary, AMPLE), set()
         width = 2 if max(encode.size, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            for a, b in row_groups(batch.column(1)):
+            for a, b in row_groups(batch.column(1), AMPLE[0]):
                 ids, documents = encode.encode_batch(batch.column(1)[a:b], end_id)
                 ends = chunk_ends(ids, documents[1:])
                 begins = np.append(0, ends[:-1])

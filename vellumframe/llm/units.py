@@ -28,6 +28,8 @@ _ELSEWHERE = f"{_WHITE2}[ \\n](?:{_WHITE2}|\\z)|[\\x00\\x01]"
 _MARK = "([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])( |\\z)"
 #: Bytes of text whose units are held at once; units, and characters of them, that a worker remembers.
 GROUP, UNITS, CHARS = 3 << 20, 450_000, 12 << 20
+#: The same where no other step shares a worker's memory: units are asked for again less often.
+AMPLE = (8 << 20, 600_000, 16 << 20)
 
 
 def slices(text: str) -> Iterator[str]:
@@ -56,11 +58,11 @@ def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
 
 
-def row_groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Rows from, to: of about GROUP bytes of text together, or one."""
+def row_groups(texts: pa.Array, group: int | None = None) -> Iterator[tuple[int, int]]:
+    """Rows from, to: of about `group` bytes of text together, GROUP without it, or one."""
     total, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < len(total):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + GROUP, "right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (group or GROUP), "right")))
         yield at, stop
         at = stop
 
@@ -74,7 +76,8 @@ def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Remembered:
     """Asks for each different unit once while it is remembered. Subclasses hold what belongs to a unit at its slot."""
 
-    def __init__(self):
+    def __init__(self, limits: tuple[int, int, int] | None = None):
+        self.limits = limits  # in place of GROUP, UNITS and CHARS
         self.slots: dict[str, int] = {}
         self.used = np.empty(0, np.int64)  # in how many groups of texts a unit was met
         self.held = 0
@@ -89,8 +92,9 @@ class Remembered:
 
     def _forget(self) -> None:
         """Units met in one group alone go first; it costs time and changes no result."""
-        least, long = 2, np.fromiter(map(len, self.slots), np.int64, len(self.slots)) > 4 * CHARS // UNITS
-        while (kept := np.flatnonzero((self.used >= least) & ~long)).size > UNITS // 2:
+        _, most, chars = self.limits or (GROUP, UNITS, CHARS)
+        least, long = 2, np.fromiter(map(len, self.slots), np.int64, len(self.slots)) > 4 * chars // most
+        while (kept := np.flatnonzero((self.used >= least) & ~long)).size > most // 2:
             least *= 2
         keys = list(self.slots)
         keys = [keys[i] for i in kept.tolist()]
@@ -99,7 +103,8 @@ class Remembered:
 
     def _slots(self, keys: list[str]) -> np.ndarray:
         slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
-        if len(self.slots) + np.count_nonzero(slots < 0) > UNITS or self.held > CHARS:
+        _, most, chars = self.limits or (GROUP, UNITS, CHARS)
+        if len(self.slots) + np.count_nonzero(slots < 0) > most or self.held > chars:
             self._forget()
             slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
         if len(at := np.flatnonzero(slots < 0)):
@@ -116,7 +121,7 @@ class Remembered:
         """(rows, the slots of their units, where each row's begin) for texts without nulls. A row may come in several
         parts, one after the other."""
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        odd = pc.match_substring_regex(texts, _ELSEWHERE).to_numpy(zero_copy_only=False) | (size > GROUP)
+        odd = pc.match_substring_regex(texts, _ELSEWHERE).to_numpy(zero_copy_only=False) | (size > (self.limits or (GROUP,))[0])
         for row in np.flatnonzero(odd).tolist():
             for part in slices(texts[row].as_py()):
                 units = UNIT.findall(part)
@@ -125,6 +130,6 @@ class Remembered:
                 yield np.array([row]), slots[np.fromiter(map(different.__getitem__, units), np.int64, len(units))], np.array([0, len(units)])
         rest = np.flatnonzero(~odd)
         even = texts.take(pa.array(rest))
-        for a, b in row_groups(even):
+        for a, b in row_groups(even, self.limits and self.limits[0]):
             keys, codes, offsets = _cut(even[a:b])
             yield rest[a:b], self._slots(keys)[codes], offsets
