@@ -3,8 +3,9 @@
 The split pattern of these vocabularies ends a match before a space that something else than white space follows, and takes
 a run of white space up to its last character when something follows it. So no match reaches over a cut at the beginning of
 a white-space run, nor over one before its last character, and each part, taken alone, has the matches that it has in its
-text. Texts are cut by Arrow before every space and line feed; where that would cut a run elsewhere, by a pattern instead. A
-single mark between a letter or digit and white space is a match of its own, and is cut off the word before it.
+text. Texts are cut by Arrow before every space and line feed; where that would cut a run elsewhere, by a pattern instead.
+Marks between a letter or digit and white space are a match of their own, and are cut off the word before them; not where an
+apostrophe is among them, which may begin one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ _EDGE = re.compile(f" (?=[^{WHITE}])")
 _WHITE2 = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _POINTS) + "]"
 #: A cut inside a run that isn't before its last character; and the signs that begin keys, below.
 _ELSEWHERE = f"{_WHITE2}[ \\n](?:{_WHITE2}|\\z)|[\\x00\\x01]"
-_MARK = "([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])( |\\z)"
+#: Letters whatever the version of Unicode, and marks.
+LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-&(-/:-@\\[-`{-~"
+_MARK = f"([0-9{LETTERS}])([{_MARKS}]+)( |\\z)"
 #: Bytes of text whose units are held at once; units, and characters of them, that a worker remembers.
 GROUP, UNITS, CHARS = 3 << 20, 450_000, 12 << 20
 #: The same where no other step shares a worker's memory: units are asked for again less often.
@@ -55,7 +58,7 @@ def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     signed = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARK, "\\1 \1\\2\\3")
     parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), signed, ""), " ")
     found = parts.flatten().dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
 
 
 def row_groups(texts: pa.Array, group: int | None = None) -> Iterator[tuple[int, int]]:
