@@ -87,6 +87,6 @@ def nearest_ancestor(nodes: DataFrame, ancestors: DataFrame, keys: list[str], co
     beginnings, ends and nodes; no node meets more than one ancestor."""
     level = F.when(F.col("_kind") == 1, F.col("_open") + 1).otherwise(F.col("_open"))
     pairs = _met(_opened(nodes, ancestors, keys).withColumn("_level", level).where("_level > 0"), keys)
-    pairs = pairs.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col("pre").alias("_n_pre"), "ancestor", "_level")
-    more = [] if count is None else [F.coalesce("_level", F.lit(0).cast("long")).alias(count)]
+    pairs = pairs.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col("pre").alias("_n_pre"), "ancestor", F.col("_level").alias("_n_level"))
+    more = [] if count is None else [F.coalesce("_n_level", F.lit(0).cast("long")).alias(count)]
     return nodes.join(pairs, same([*keys, "pre"], "_n_"), "left").select(*nodes.columns, "ancestor", *more)
